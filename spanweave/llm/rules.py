@@ -127,6 +127,32 @@ def _step(rows: DataFrame, params: DataFrame) -> DataFrame:
     return out.select("pool", *(f"_m{i}" for i in range(P)), *(f"_c{i}{j}" for i in range(P) for j in range(i + 1)), scale.alias("_scale"))
 
 
+def _counted(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
+    rows = docs.withColumns({"_lang": F.coalesce(F.col(lang_col), F.lit("")), "_source": F.coalesce(F.col(source_col), F.lit(""))})
+    return base_counts(rows, text_col)
+
+
+def fit(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pools, estimates) from rows with base counts and _lang, _source; see :func:`judge`."""
+    good = rows.filter("not base_failed").select("*", F.col("_lang").alias("lang_"), F.col("_source").alias("source_"))
+    good = good.drop("lang", "source").withColumnsRenamed({"lang_": "lang", "source_": "source"})
+    pools = written(_pooled(good), "rules-pools")
+    good = good.join(pools, ["lang", "source"]).withColumns(_features()).select("pool", *(f"{_N}{i}" for i in range(P)))
+    params = written(_centre(good), "rules-centre")
+    for _ in range(STEPS):
+        params = written(_step(good, params), "rules-step")
+    return pools.withColumnsRenamed({"lang": "_lang", "source": "_source"}), params
+
+
+def verdicts(rows: DataFrame, fitted: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """``rows`` with base counts, with ``distance`` and ``kept``."""
+    pools, params = fitted
+    own = [c for c in rows.columns if c not in ("distance", "kept")]
+    out = rows.join(pools, ["_lang", "_source"], "left").join(params, "pool", "left").withColumns(_features())
+    out = out.withColumn("_far", F.when(~F.col("base_failed"), F.round(_distance() / F.col("_scale"), 3)))
+    return out.select(*own, F.col("_far").alias("distance"), (~F.col("base_failed") & (F.col("_far") <= CUT)).alias("kept"))
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """Ids with the base counts, ``distance`` (squared, robust) and ``kept``.
 
@@ -139,16 +165,18 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     Null text: no words, so it fails. Null lang or source: a group ``''``. Small groups: see MIN_ROWS. Equal rows get equal
     verdicts. An empty table gives no rows. Other columns are ignored.
     """
-    rows = base_counts(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), F.col(text_col).alias("text"))).drop("text")
-    rows = written(rows, "rules-counts")
-    pools = written(_pooled(rows.filter("not base_failed")), "rules-pools")
-    good = rows.filter("not base_failed").join(pools, ["lang", "source"]).withColumns(_features()).select("pool", *(f"{_N}{i}" for i in range(P)))
-    params = written(_centre(good), "rules-centre")
-    for _ in range(STEPS):
-        params = written(_step(good, params), "rules-step")
-    out = rows.join(pools, ["lang", "source"], "left").withColumns(_features()).join(params, "pool", "left")
-    out = out.withColumn("distance", F.when(~F.col("base_failed"), F.round(_distance() / F.col("_scale"), 3)))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("distance") <= CUT)).alias("kept"), "distance")
+    thin = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
+    rows = written(_counted(thin, "text", "lang", "source").drop("text", "lang", "source"), "rules-counts")
+    out = verdicts(rows, fit(rows))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+def keep(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs``, all columns, that :func:`judge` keeps. The rows are written once with their counts, which the estimates and the verdicts then read."""
+    own = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
+    rows = written(_counted(docs.withColumnsRenamed(own), own[text_col], own[lang_col], own[source_col]), "rules-rows")
+    out = verdicts(rows, fit(rows)).filter("kept")
+    return out.select(*(F.col(v).alias(k) for k, v in own.items()))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,7 +81,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = pages.withColumn("fetch_day", _number(F.coalesce(F.col("page_id").cast("string"), F.lit("")), "p") % 365)
     entries = sample_entries(pages.select(host_of(F.col("url")).alias("host")))
     out = filter_urls(captures, entries)
-    return out.select("page_id", "url", F.date_format(F.date_add(F.to_date(F.lit(DAY0)), F.col("fetch_day").cast("int")), "yyyy-MM-dd").alias("fetched"), "host", "blocked", "lists", "listed_since")
+    dated = lambda day: F.date_format(F.date_add(F.to_date(F.lit(DAY0)), day.cast("int")), "yyyy-MM-dd")
+    return out.select("page_id", "url", dated(F.col("fetch_day")).alias("fetched"), "host", "blocked", "lists", F.coalesce(dated(F.col("listed_since")), F.lit("")).alias("listed_since"))
 
 
 ORACLE = r"""WITH c AS (SELECT page_id, url, ('0x' || substr(md5('p' || coalesce(page_id::VARCHAR, '')), 1, 7))::BIGINT % 365 AS day,
@@ -95,5 +96,6 @@ e AS (SELECT 'adult' AS list, key, n % 200 AS since, n % 200 + 70 AS until FROM
   UNION ALL SELECT 'spam', key, n % 300, CASE WHEN n % 2 = 0 THEN n % 300 + 45 END FROM b WHERE n % 5 = 0),
 v AS (SELECT host, day, string_agg(DISTINCT list, ',' ORDER BY list) AS lists, min(since) AS listed_since
   FROM (SELECT DISTINCT host, day FROM c) x JOIN e ON (host = key OR ends_with(host, '.' || key)) AND since <= day AND (until IS NULL OR day < until) GROUP BY ALL)
-SELECT page_id, url, strftime(DATE '2020-01-01' + c.day::INTEGER, '%Y-%m-%d') AS fetched, c.host AS host, lists IS NOT NULL AS blocked, coalesce(lists, '') AS lists, listed_since
+SELECT page_id, url, strftime(DATE '2020-01-01' + c.day::INTEGER, '%Y-%m-%d') AS fetched, c.host AS host, lists IS NOT NULL AS blocked, coalesce(lists, '') AS lists,
+  coalesce(strftime(DATE '2020-01-01' + listed_since::INTEGER, '%Y-%m-%d'), '') AS listed_since
 FROM c LEFT JOIN v ON c.host = v.host AND c.day = v.day"""
