@@ -1,5 +1,558 @@
-"""The registered queries of the interval engine, and the same in SQL."""
+"""The registered queries of the interval engine, and the same in SQL for another engine to check.
+
+The tables hold no mappings, so ``mappings`` derives some from ``lineitem``, the same way in both dialects.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+
+from .functions import exprs as X
+from .operators import chain, joins, pairs, sets, stats, sweep, topk
+from .plans import filtering
+from .schema import FilterConfig
+
+#: Both dialects read this, over lineitem; {i} is the integer type. (orderkey, linenumber) may repeat, so rank is a row number.
+_RAW = """SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) - 1 AS rank,
+  concat('G', CAST(l_suppkey % 5 AS {s}), '#1#chr', CAST(l_partkey % 7 AS {s})) AS query, CAST(300000 AS BIGINT) AS query_len,
+  (l_orderkey * 131 + l_linenumber * 17) % {m} AS query_start, (l_orderkey * 131 + l_linenumber * 17) % {m} + 100 + CAST(l_quantity AS BIGINT) * 40 AS query_end,
+  CASE WHEN l_returnflag = 'R' THEN '-' ELSE '+' END AS strand,
+  concat('G', CAST((l_partkey + l_orderkey) % 5 AS {s}), '#1#chr', CAST(l_suppkey % 7 AS {s})) AS target, CAST(300000 AS BIGINT) AS target_len,
+  (l_orderkey * 131 + l_linenumber * 17 + l_partkey % 50 * 20) % {m} AS target_start,
+  (l_orderkey * 131 + l_linenumber * 17 + l_partkey % 50 * 20) % {m} + 100 + CAST(l_quantity AS BIGINT) * 40 + l_linenumber * 3 AS target_end,
+  CAST(floor((100 + l_quantity * 40) * (100 - round(l_discount * 100)) / 100) AS BIGINT) AS matches, CAST(100 + l_quantity * 40 AS BIGINT) AS block_length,
+  (100 - round(l_discount * 100)) / 100 AS identity FROM {t}"""
+MODULUS = 200_000
+MAPPINGS = _RAW.format(s="VARCHAR", m=MODULUS, t="lineitem").replace("AS rank", 'AS "rank"')
 
-QUERIES: dict = {}
-ORACLES: dict = {}
 FLAGSHIP = "sweep_query_k1"
+CHAIN_GAP = 2_000
+PIPELINE = FilterConfig(query_limit=1, target_limit=1, scaffold_gap=CHAIN_GAP, min_scaffold_length=2_000, scaffold_query_limit=1, scaffold_target_limit=1, rescue_distance=1_000)
+
+
+def mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived mappings. The row number of these test tables is one sort; real sources come with ranks."""
+    return spark.sql(_RAW.format(s="STRING", m=MODULUS, t=f"parquet.`{sf_dir}/lineitem.parquet`")).withColumn("matches", F.col("matches").cast("long"))
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def _query(name: str, sql: str | None = None):
+    def put(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = f"WITH mappings AS MATERIALIZED ({MAPPINGS}) {sql}" if "mappings" in sql else sql
+        return f
+
+    return put
+
+
+_ID = ["rank", "query", "target", "query_start", "query_end"]
+_IDS = '"rank", query, target, query_start, query_end'
+_SCORE = "CASE WHEN query_end > query_start AND identity > 0 THEN round(identity * ln(query_end - query_start), 9) ELSE '-inf'::DOUBLE END"
+_G = lambda n: f"CASE WHEN contains({n}, '#') THEN regexp_extract({n}, '^(.*#)', 1) ELSE {n} END"
+
+
+def _r(df: DataFrame, *doubles: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c), digits) for c in doubles})
+
+
+# sweeps
+@_query(FLAGSHIP, f"SELECT {_IDS} FROM {sweep.sweep_sql('mappings', ['query', 'target'], 'query', 1, 0.5, _SCORE)}")
+def _(s, d):
+    return sweep.sweep(mappings(s, d), ["query", "target"], "query", 1, 0.5).select(*_ID)
+
+
+@_query("sweep_target_k2", f"SELECT {_IDS} FROM {sweep.sweep_sql('mappings', ['query', 'target'], 'target', 2, 0.95, _SCORE)}")
+def _(s, d):
+    return sweep.sweep(mappings(s, d), ["query", "target"], "target", 2, 0.95).select(*_ID)
+
+
+_ONE = sweep.sweep_sql("mappings", ["query", "target"], "query", 1, 0.5, _SCORE)
+
+
+@_query("sweep_both", f"SELECT {_IDS} FROM {sweep.sweep_sql(_ONE, ['query', 'target'], 'target', 1, 0.5, _SCORE)}")
+def _(s, d):
+    return sweep.sweep_both(mappings(s, d), ["query", "target"], 1, 1, 0.5).select(*_ID)
+
+
+_QKEYS, _TKEYS = ["g", "h", "query"], ["g", "h", "target"]
+_GENOMES = f"(SELECT *, {_G('query')} AS g, {_G('target')} AS h FROM mappings)"
+
+
+def _genomes(s, d):
+    return mappings(s, d).withColumns({"g": X.prefix_last(F.col("query")), "h": X.prefix_last(F.col("target"))})
+
+
+@_query("sweep_intersect", f"SELECT {_IDS} FROM {sweep.sweep_sql(_GENOMES, _QKEYS, 'query', 1, 0.95, _SCORE)} WHERE \"rank\" IN (SELECT \"rank\" FROM {sweep.sweep_sql(_GENOMES, _TKEYS, 'target', 1, 0.95, _SCORE)})")
+def _(s, d):
+    return sweep.sweep_intersect(_genomes(s, d), _QKEYS, _TKEYS, 1, 1, 0.95).select(*_ID)
+
+
+@_query("sweep_unbounded", f"SELECT {_IDS} FROM mappings QUALIFY query_end > query_start OR count(*) OVER (PARTITION BY query, target) = 1")
+def _(s, d):
+    return sweep.sweep(mappings(s, d), ["query", "target"], "query", None).select(*_ID)
+
+
+@_query("greedy_non_overlapping")
+def _(s, d):
+    return sweep.greedy_non_overlapping(mappings(s, d), ["query"]).select(*_ID)
+
+
+@_query("greedy_dual_axis")
+def _(s, d):
+    return sweep.greedy_non_overlapping(mappings(s, d), ["target", "strand"], ("target", "query"), 0.5).select(*_ID)
+
+
+# ranked selections
+_TOP = f"row_number() OVER (PARTITION BY {{}} ORDER BY {_SCORE} DESC, \"rank\")"
+
+
+@_query("best_query_target", f"SELECT {_IDS} FROM (SELECT * FROM mappings QUALIFY {_TOP.format('query')} = 1) QUALIFY {_TOP.format('target')} = 1")
+def _(s, d):
+    return topk.best_query_then_target(mappings(s, d)).select(*_ID)
+
+
+@_query("reciprocal_best", f"SELECT {_IDS} FROM mappings QUALIFY {_TOP.format('query')} = 1 AND {_TOP.format('target')} = 1")
+def _(s, d):
+    return topk.reciprocal_best(mappings(s, d)).select(*_ID)
+
+
+@_query("one_to_many", f"SELECT {_IDS} FROM mappings QUALIFY row_number() OVER (PARTITION BY query ORDER BY block_length DESC, \"rank\") <= 3")
+def _(s, d):
+    return topk.longest_then_limit(mappings(s, d), 3).select(*_ID)
+
+
+@_query("many_to_many", f"SELECT {_IDS} FROM (SELECT * FROM mappings QUALIFY {_TOP.format('query')} <= 5) QUALIFY {_TOP.format('target')} <= 3")
+def _(s, d):
+    return topk.limit_both(mappings(s, d), 5, 3).select(*_ID)
+
+
+@_query("top_of_pair", f"SELECT {_IDS} FROM mappings QUALIFY {_TOP.format('query, target')} <= 2")
+def _(s, d):
+    return topk.top_of_pair(mappings(s, d), 2).select(*_ID)
+
+
+@_query("longest_of_group", f"SELECT {_IDS} FROM mappings QUALIFY row_number() OVER (PARTITION BY query, target ORDER BY block_length DESC, \"rank\" DESC) = 1")
+def _(s, d):
+    return topk.longest_of_group(mappings(s, d), ["query", "target"]).select(*_ID)
+
+
+@_query("longest_fraction", f"SELECT {_IDS} FROM mappings QUALIFY row_number() OVER (ORDER BY block_length DESC, \"rank\") <= floor(count(*) OVER () * 0.3)")
+def _(s, d):
+    return topk.longest_fraction(mappings(s, d), 0.3).select(*_ID)
+
+
+# predicates and scores
+@_query("row_predicates", f"SELECT {_IDS} FROM mappings WHERE block_length >= 500 AND query <> target AND identity >= 0.93")
+def _(s, d):
+    return filtering.passing(mappings(s, d), FilterConfig(min_block_length=500, min_identity=0.93)).select(*_ID)
+
+
+@_query("scores", """SELECT "rank", round(identity, 6) AS ani, round(query_end - query_start, 6)::DOUBLE AS length, round((query_end - query_start) * identity, 6) AS length_ani,
+  round(identity * ln(query_end - query_start), 6) AS log_length_ani FROM mappings""")
+def _(s, d):
+    return mappings(s, d).select("rank", *(F.round(X.score(k), 6).alias(k.replace("-", "_")) for k in ("ani", "length", "length-ani", "log-length-ani")))
+
+
+@_query("overlap_fraction", """SELECT "rank", round(CASE WHEN least(query_end - query_start, target_end - target_start) > 0
+  THEN greatest(0, least(query_end, target_end) - greatest(query_start, target_start)) / least(query_end - query_start, target_end - target_start)::DOUBLE ELSE 0 END, 6) AS share FROM mappings""")
+def _(s, d):
+    return mappings(s, d).select("rank", F.round(X.overlap(*(F.col(c) for c in ("query_start", "query_end", "target_start", "target_end"))), 6).alias("share"))
+
+
+@_query("name_prefixes", """SELECT p_partkey, nm, regexp_extract(nm, '^(.*#)', 1) AS last_prefix, split_part(nm, '#', 1) || '#' || split_part(nm, '#', 2) || '#' AS two, split_part(nm, '#', 1) AS sample,
+  split_part(nm, '#', 1) || '#' || split_part(nm, '#', 2) AS haplotype FROM (SELECT p_partkey, concat('S', (p_partkey % 9)::VARCHAR, '#', (p_partkey % 2)::VARCHAR, '#ctg', p_size::VARCHAR) AS nm FROM part)""")
+def _(s, d):
+    nm = F.concat(F.lit("S"), (F.col("p_partkey") % 9).cast("string"), F.lit("#"), (F.col("p_partkey") % 2).cast("string"), F.lit("#ctg"), F.col("p_size").cast("string"))
+    p = _table(s, d, "part").select("p_partkey", nm.alias("nm"))
+    n = F.col("nm")
+    return p.select("p_partkey", "nm", X.prefix_last(n).alias("last_prefix"), X.prefix_two(n).alias("two"), X.pansn_key(n, "sample").alias("sample"), X.pansn_key(n, "haplotype").alias("haplotype"))
+
+
+@_query("count_groups", "SELECT count(DISTINCT split_part(query, '#', 1) || '#' || split_part(query, '#', 2)) AS haplotypes FROM mappings")
+def _(s, d):
+    return mappings(s, d).agg(F.greatest(F.lit(1), F.count_distinct(X.pansn_key(F.col("query")))).alias("haplotypes"))
+
+
+@_query("cigar", """WITH c AS (SELECT p_partkey, concat(p_size::VARCHAR, '=', (p_partkey % 7 + 1)::VARCHAR, 'X', (p_partkey % 5 + 1)::VARCHAR, 'I', p_size::VARCHAR, '=', (p_partkey % 3 + 1)::VARCHAR, 'D') AS cg, p_size, p_partkey AS k FROM part)
+  SELECT p_partkey, cg, (2 * p_size)::BIGINT AS m, (k % 7 + 1)::BIGINT AS x, (k % 5 + 1)::BIGINT AS i, (k % 3 + 1)::BIGINT AS dl, round(2 * p_size / (2 * p_size + k % 7 + k % 5 + k % 3 + 3)::DOUBLE, 6) AS idn FROM c""")
+def _(s, d):
+    n = lambda c: c.cast("string")
+    k = F.col("p_partkey")
+    cg = F.concat(n(F.col("p_size")), F.lit("="), n(k % 7 + 1), F.lit("X"), n(k % 5 + 1), F.lit("I"), n(F.col("p_size")), F.lit("="), n(k % 3 + 1), F.lit("D"))
+    p = _table(s, d, "part").select("p_partkey", cg.alias("cg"))
+    c = X.cigar_counts(F.col("cg"))
+    return p.select("p_partkey", "cg", c["matches"].alias("m"), c["mismatches"].alias("x"), c["insertions"].alias("i"), c["deletions"].alias("dl"), F.round(X.cigar_identity(F.col("cg")), 6).alias("idn"))
+
+
+@_query("round_nice", """SELECT p_partkey, CASE WHEN v = 0 THEN 0 ELSE greatest(st, (v + st // 2) // st * st) END::BIGINT AS nice FROM (SELECT *, CASE WHEN v <= 500 THEN 50 WHEN v <= 1000 THEN 100 WHEN v <= 3000 THEN 200 ELSE 500 END AS st
+  FROM (SELECT p_partkey, p_partkey * 37 % 5000 AS v FROM part))""")
+def _(s, d):
+    return _table(s, d, "part").select("p_partkey", X.round_nice(F.col("p_partkey") * 37 % 5000).alias("nice"))
+
+
+# chains
+_CH = """SELECT query, target, strand, min(query_start) AS query_start, max(query_end) AS query_end, min(target_start) AS target_start, max(target_end) AS target_end,
+  sum(matches)::BIGINT AS sum_matches, sum(block_length)::BIGINT AS sum_block, count(*) AS members FROM mappings GROUP BY ALL"""
+
+
+@_query("chain_stats", f"""SELECT *, query_end - query_start AS span, round(sum_matches / (sum_block + CASE WHEN query_end - query_start > sum_block THEN ln(query_end - query_start - sum_block) ELSE 0 END), 6) AS identity FROM ({_CH})""")
+def _(s, d):
+    return _r(chain.chain_table(mappings(s, d), chain.PAIR), "identity").drop("first_rank")
+
+
+_QRUN = """SELECT *, sum(CASE WHEN query_start - pe > 500 THEN 1 ELSE 0 END) OVER (PARTITION BY query, target ORDER BY query_start, "rank" ROWS UNBOUNDED PRECEDING) AS run
+  FROM (SELECT *, lag(query_end) OVER (PARTITION BY query, target ORDER BY query_start, "rank") AS pe FROM mappings)"""
+
+
+@_query("gap_chain_1d", f"SELECT query, target, run::BIGINT AS run, min(query_start) AS query_start, max(query_end) AS query_end, count(*) AS members FROM ({_QRUN}) GROUP BY query, target, run")
+def _(s, d):
+    runs = chain.chain_query_gaps(mappings(s, d), 500)
+    return runs.groupBy("query", "target", "run").agg(F.min("query_start").alias("query_start"), F.max("query_end").alias("query_end"), F.count("*").alias("members"))
+
+
+_PW = 'OVER (PARTITION BY query, target, strand ORDER BY query_start, "rank")'
+_NEAR = f"""SELECT *, sum(CASE WHEN query_start - pqe > 300 OR (CASE WHEN strand = '+' THEN target_start - pte ELSE pts - target_end END) > 300 THEN 1 ELSE 0 END)
+  OVER (PARTITION BY query, target, strand ORDER BY query_start, "rank" ROWS UNBOUNDED PRECEDING) AS run
+  FROM (SELECT *, lag(query_end) {_PW} AS pqe, lag(target_end) {_PW} AS pte, lag(target_start) {_PW} AS pts FROM mappings)"""
+
+
+@_query("merge_near", f"""SELECT query, target, strand, run::BIGINT AS run, min(query_start) AS query_start, max(query_end) AS query_end, min(target_start) AS target_start, max(target_end) AS target_end,
+  sum(matches)::BIGINT AS matches, sum(block_length)::BIGINT AS block_length, round(avg(identity), 6) AS identity, count(*) AS members, min("rank") AS "rank" FROM ({_NEAR}) GROUP BY query, target, strand, run""")
+def _(s, d):
+    return _r(chain.merge_near(mappings(s, d), 300), "identity")
+
+
+_ADJ = f"""SELECT *, sum(CASE WHEN query_start - pqe NOT BETWEEN -400 AND 2000 OR target_start - pte NOT BETWEEN -400 AND 2000 THEN 1 ELSE 0 END)
+  OVER (PARTITION BY query, target, strand ORDER BY query_start, "rank" ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, lag(query_end) {_PW} AS pqe, lag(target_end) {_PW} AS pte FROM mappings)"""
+
+
+@_query("chain_adjacent", f'SELECT "rank", query, target, strand, run::BIGINT AS run FROM ({_ADJ})')
+def _(s, d):
+    return chain.chain_adjacent(mappings(s, d), 2000).select("rank", "query", "target", "strand", "run")
+
+
+@_query("merge_close")
+def _(s, d):
+    return chain.merge_close(mappings(s, d))
+
+
+@_query("best_buddy_chains")
+def _(s, d):
+    return _r(filtering.ordered_chains(chain.chain_members(mappings(s, d), CHAIN_GAP)), "identity")
+
+
+@_query("transitive_chains")
+def _(s, d):
+    return _r(chain.chain_table(chain.chain_members(mappings(s, d), 300)), "identity")
+
+
+# joins
+_BOXES = """(SELECT query, target, strand, query_start // 20000 AS cell, min(query_start) AS query_start, max(query_end) AS query_end, min(target_start) AS target_start, max(target_end) AS target_end, min("rank") AS ord
+  FROM mappings WHERE block_length > 1900 GROUP BY query, target, strand, query_start // 20000)"""
+
+
+def _boxes(s, d):
+    m = mappings(s, d).filter("block_length > 1900").withColumn("cell", F.expr("query_start div 20000"))
+    return m.groupBy("query", "target", "strand", "cell").agg(F.min("query_start").alias("query_start"), F.max("query_end").alias("query_end"), F.min("target_start").alias("target_start"), F.max("target_end").alias("target_end"), F.min("rank").alias("order"))
+
+
+@_query("diagonal_inversions", f"""SELECT m."rank" AS "rank", min(c.ord) AS "order" FROM mappings m JOIN {_BOXES} c ON m.query = c.query AND m.target = c.target AND c.strand = '+' AND m.strand = '-'
+  AND m.query_end >= c.query_start - 2000 AND m.query_start <= c.query_end + 2000
+  AND floor(abs((m.target_start + m.target_end) // 2 - (m.query_start + m.query_end) // 2 - (c.target_start - c.query_start)) / sqrt(2)) <= 2000 GROUP BY m."rank" """)
+def _(s, d):
+    return joins.on_diagonal(mappings(s, d), _boxes(s, d), 2000)
+
+
+_DQ = "((m.query_start + m.query_end) // 2 - (a.query_start + a.query_end) // 2)"
+_DT = "((m.target_start + m.target_end) // 2 - (a.target_start + a.target_end) // 2)"
+
+
+@_query("rescue_distance", f"""SELECT "rank", anchor_rank FROM (SELECT m."rank" AS "rank", a."rank" AS anchor_rank, row_number() OVER (PARTITION BY m."rank" ORDER BY floor(sqrt({_DQ} * {_DQ} + {_DT} * {_DT})), a."rank") AS n
+  FROM (SELECT * FROM mappings WHERE block_length <= 1900) m JOIN (SELECT * FROM mappings WHERE block_length > 1900) a ON m.query = a.query AND m.target = a.target AND {_DQ} * {_DQ} + {_DT} * {_DT} < 1501 * 1501) WHERE n = 1""")
+def _(s, d):
+    m = mappings(s, d)
+    return joins.within_distance(m.filter("block_length <= 1900"), m.filter("block_length > 1900"), 1500)
+
+
+@_query("containment", f"""SELECT {_IDS} FROM mappings m WHERE EXISTS (SELECT 1 FROM {_BOXES} b WHERE m.query = b.query AND m.target = b.target AND m.query_start >= b.query_start AND m.query_end <= b.query_end
+  AND m.target_start >= b.target_start AND m.target_end <= b.target_end)""")
+def _(s, d):
+    return joins.contained(mappings(s, d), _boxes(s, d)).select(*_ID)
+
+
+@_query("near_target", f"""SELECT {_IDS} FROM mappings m WHERE EXISTS (SELECT 1 FROM mappings a WHERE a.block_length > 2050 AND a.target = m.target
+  AND abs((m.target_start + m.target_end) / 2 - (a.target_start + a.target_end) / 2) <= 40)""")
+def _(s, d):
+    m = mappings(s, d)
+    return joins.near_target(m, m.filter("block_length > 2050"), 40).select(*_ID)
+
+
+@_query("all_pairs", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_name < b.n_name")
+def _(s, d):
+    return joins.all_pairs(_table(s, d, "nation"), "n_name")
+
+
+@_query("cartesian_pairs", "SELECT a.s_name AS query, b.n_name AS target FROM supplier a JOIN nation b ON a.s_name <> b.n_name")
+def _(s, d):
+    n = lambda t, c: _table(s, d, t).select(F.col(c).alias("name"))
+    return joins.cartesian_pairs(n("supplier", "s_name"), n("nation", "n_name"), "name")
+
+
+_EVERY = "(SELECT a.n_name AS query, b.n_name AS target FROM nation a JOIN nation b ON a.n_name <> b.n_name)"
+_DONE = "(SELECT DISTINCT a.n_name AS query, b.n_name AS target FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey)"
+
+
+def _done(s, d):
+    n = _table(s, d, "nation")
+    return n.select(F.col("n_name").alias("query"), "n_regionkey").join(n.select(F.col("n_name").alias("target"), "n_regionkey"), "n_regionkey").select("query", "target")
+
+
+@_query("pairs_remaining", f"SELECT query, target FROM {_EVERY} e ANTI JOIN {_DONE} x USING (query, target)")
+def _(s, d):
+    n = _table(s, d, "nation").select(F.col("n_name").alias("name"))
+    return joins.remaining(joins.cartesian_pairs(n, n, "name"), _done(s, d))
+
+
+@_query("verify_pairs", """SELECT query, target FROM (SELECT DISTINCT a.query, b.target FROM mappings a, (SELECT DISTINCT target FROM mappings) b) e ANTI JOIN (SELECT query, target FROM mappings WHERE block_length > 2000) f USING (query, target)""")
+def _(s, d):
+    m = mappings(s, d)
+    every = m.select("query").distinct().join(m.select("target").distinct())
+    return joins.missing_pairs(every, m.filter("block_length > 2000"))
+
+
+@_query("expand_haplotypes", """WITH g AS (SELECT n_regionkey AS g, n_nationkey AS i FROM nation) SELECT DISTINCT least(x.i, y.i) AS i, greatest(x.i, y.i) AS j FROM g x JOIN g y ON x.i <> y.i AND (x.g = y.g OR (x.g = 0 AND y.g = 2) OR (x.g = 1 AND y.g = 3))""")
+def _(s, d):
+    g = _table(s, d, "nation").select(F.col("n_regionkey").alias("g"), F.col("n_nationkey").alias("i"))
+    return joins.expand_haplotypes(s.createDataFrame([(0, 2), (1, 3)], "a int, b int"), g)
+
+
+# statistics
+_PAIRS = f"""(SELECT least(g, h) AS a, greatest(g, h) AS b, sum(matches)::BIGINT AS matches, sum(block_length)::BIGINT AS block_length, sum(matches) / sum(block_length)::DOUBLE AS identity
+  FROM (SELECT {_G('query')} AS g, {_G('target')} AS h, matches, block_length FROM {{}}) WHERE g <> h GROUP BY ALL)"""
+
+
+@_query("identity_matrix", f"SELECT a, b, matches, block_length, round(identity, 6) AS identity FROM {_PAIRS.format('mappings')}")
+def _(s, d):
+    return _r(stats.genome_identities(mappings(s, d)), "identity")
+
+
+@_query("ani_all", f"SELECT round(median(identity), 6) AS ani, count(*) AS pairs FROM {_PAIRS.format('mappings')}")
+def _(s, d):
+    return _r(stats.ani_all(mappings(s, d)), "ani")
+
+
+_SIZES = "(SELECT name, arg_min(n, k) AS length FROM (SELECT query AS name, query_len AS n, \"rank\" * 2 AS k FROM mappings UNION ALL SELECT target, target_len, \"rank\" * 2 + 1 FROM mappings) GROUP BY name)"
+_N50 = f"""(SELECT * FROM (SELECT *, sum(block_length) OVER (ORDER BY round(identity, 9) DESC, "rank" ROWS UNBOUNDED PRECEDING) - block_length AS before FROM mappings WHERE {_G('query')} <> {_G('target')})
+  WHERE before < (SELECT sum(length) FROM {_SIZES}) * 0.5)"""
+
+
+@_query("ani_n50", f"SELECT round(median(identity), 6) AS ani, count(*) AS pairs FROM {_PAIRS.format(_N50)}")
+def _(s, d):
+    return _r(stats.ani_percentile(mappings(s, d), 50), "ani")
+
+
+@_query("ani_n90_length_rows", f"SELECT {_IDS} FROM {_N50.replace('round(identity, 9)', 'block_length').replace('* 0.5', '* 0.9')}")
+def _(s, d):
+    return stats.best_until_covered(mappings(s, d), 90, "length").select(*_ID)
+
+
+@_query("ani_orthogonal")
+def _(s, d):
+    return _r(filtering.survey(mappings(s, d), "orthogonal"), "ani")
+
+
+@_query("sequence_sizes", f"SELECT * FROM {_SIZES}")
+def _(s, d):
+    return stats.sequence_sizes(mappings(s, d))
+
+
+@_query("alnstats_totals", f"""SELECT count(*) AS mappings, sum(query_end - query_start)::BIGINT AS bases, sum(matches)::BIGINT AS matches, count_if(query = target)::BIGINT AS self_mappings,
+  count_if(query <> target AND {_G('query')} = {_G('target')})::BIGINT AS between_chromosomes, count_if({_G('query')} <> {_G('target')})::BIGINT AS between_genomes,
+  count(DISTINCT query || ' ' || target) AS chromosome_pairs, round(sum(matches) / sum(query_end - query_start)::DOUBLE, 6) AS identity FROM mappings""")
+def _(s, d):
+    return _r(stats.totals(mappings(s, d)), "identity")
+
+
+_COVER = f"""(SELECT q AS query_genome, t AS target_genome, bases, 100.0::DOUBLE * bases / size AS coverage FROM
+  (SELECT {_G('query')} AS q, {_G('target')} AS t, sum(query_end - query_start)::BIGINT AS bases FROM mappings WHERE {_G('query')} <> {_G('target')} GROUP BY ALL) JOIN
+  (SELECT {_G('name')} AS q, sum(length)::BIGINT AS size FROM {_SIZES} GROUP BY ALL) USING (q))"""
+
+
+@_query("pair_coverage", f"SELECT query_genome, target_genome, bases, round(coverage, 6) AS coverage FROM {_COVER}")
+def _(s, d):
+    return _r(stats.genome_coverage(mappings(s, d)), "coverage")
+
+
+@_query("coverage_summary", f"SELECT round(avg(coverage), 6) AS average, count(*) AS pairs, count_if(coverage > 90)::BIGINT AS over_90, count_if(coverage > 95)::BIGINT AS over_95, count_if(coverage > 99)::BIGINT AS over_99 FROM {_COVER}")
+def _(s, d):
+    return _r(stats.coverage_summary(stats.genome_coverage(mappings(s, d))), "average")
+
+
+_CHR = f"(SELECT query, target, 100.0::DOUBLE * sum(query_end - query_start) / max(query_len) AS coverage FROM mappings WHERE {_G('query')} <> {_G('target')} GROUP BY ALL)"
+
+
+@_query("coverage_bins", f"""SELECT CASE WHEN coverage <= 10 THEN 10 WHEN coverage <= 50 THEN 50 WHEN coverage <= 80 THEN 80 WHEN coverage <= 90 THEN 90 WHEN coverage <= 95 THEN 95 WHEN coverage <= 100 THEN 100 ELSE 101 END AS bin, count(*) AS pairs FROM {_CHR} GROUP BY ALL""")
+def _(s, d):
+    return stats.coverage_bins(mappings(s, d))
+
+
+@_query("missing_homologs", f"""WITH n AS (SELECT DISTINCT {_G('name')} AS g, split_part(name, '#', 3) AS c FROM {_SIZES}) SELECT a.g AS genome_a, b.g AS genome_b, a.c AS chromosome FROM n a JOIN n b ON a.c = b.c AND a.g <> b.g
+  WHERE NOT EXISTS (SELECT 1 FROM mappings m WHERE m.query = a.g || a.c AND m.target = b.g || a.c)""".replace("WITH n AS", ", n AS"))
+def _(s, d):
+    return stats.missing_homologs(mappings(s, d))
+
+
+_LONG = ["mappings", "bases", "matches"]
+
+
+@_query("compare", """SELECT measure, bv AS before, av AS after, av - bv AS difference, round(CASE WHEN bv <> 0 THEN 100 * (av - bv) / bv ELSE 0 END, 6) AS percent FROM (
+  SELECT 'mappings' AS measure, (SELECT count(*) FROM mappings)::DOUBLE AS bv, (SELECT count(*) FROM mappings WHERE identity >= 0.95)::DOUBLE AS av
+  UNION ALL SELECT 'bases', (SELECT sum(query_end - query_start) FROM mappings)::DOUBLE, (SELECT sum(query_end - query_start) FROM mappings WHERE identity >= 0.95)::DOUBLE
+  UNION ALL SELECT 'matches', (SELECT sum(matches) FROM mappings)::DOUBLE, (SELECT sum(matches) FROM mappings WHERE identity >= 0.95)::DOUBLE)""")
+def _(s, d):
+    m = mappings(s, d)
+    return _r(stats.compare(m, m.filter("identity >= 0.95")), "percent").filter(F.col("measure").isin(_LONG))
+
+
+@_query("filter_summary", """SELECT count(*) AS rows, count_if(identity >= 0.95)::BIGINT AS kept, round(100.0::DOUBLE * count_if(identity >= 0.95) / count(*), 6) AS percent, round(sum(block_length) FILTER (identity >= 0.95) / 1e6, 6)::DOUBLE AS megabases,
+  round(avg(identity) FILTER (identity >= 0.95), 6) AS identity FROM mappings""")
+def _(s, d):
+    m = mappings(s, d)
+    return _r(stats.filter_summary(m, m.filter("identity >= 0.95")), "percent", "megabases", "identity")
+
+
+@_query("group_sizes", "SELECT count(*) AS groups, min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean FROM (SELECT count(*) AS n FROM mappings GROUP BY query, target)")
+def _(s, d):
+    return _r(stats.group_sizes(mappings(s, d), ["query", "target"]), "mean")
+
+
+@_query("tree_filter", f"""{', ' if True else ''}p AS (SELECT a, b, identity FROM {_PAIRS.format('mappings')}), e AS (SELECT a AS i, b AS j, identity FROM p UNION ALL SELECT b, a, identity FROM p),
+  k AS (SELECT i, j FROM e QUALIFY row_number() OVER (PARTITION BY i ORDER BY identity DESC, j) <= 1 UNION SELECT i, j FROM e QUALIFY row_number() OVER (PARTITION BY i ORDER BY identity, j) <= 1)
+  SELECT {_IDS} FROM mappings WHERE (least({_G('query')}, {_G('target')}), greatest({_G('query')}, {_G('target')})) IN (SELECT (least(i, j), greatest(i, j)) FROM k)""")
+def _(s, d):
+    return filtering.tree_filter(mappings(s, d), 1, 1).select(*_ID)
+
+
+# pair selection
+_VEC = "(SELECT a.vec_id AS i, b.vec_id AS j, round(sqrt(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda k: (a.embedding[k]::DOUBLE - b.embedding[k]) ** 2))), 6) AS distance FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.label = b.label)"
+
+
+def _vectors(s, d):
+    """Distances of the vectors with one label: the all-against-all table of sequences, in small."""
+    v = _table(s, d, "embeddings").select("vec_id", "embedding", "label")
+    a, b = v.select(F.col("vec_id").alias("i"), F.col("embedding").alias("x"), "label"), v.select(F.col("vec_id").alias("j"), F.col("embedding").alias("y"), "label")
+    square = F.aggregate(F.zip_with("x", "y", lambda p, q: (p.cast("double") - q) * (p.cast("double") - q)), F.lit(0.0), lambda t, z: t + z)
+    return a.join(b, "label").filter("i < j").select("i", "j", F.round(F.sqrt(square), 6).alias("distance"))
+
+
+_BOTHW = f"(SELECT i, j, distance FROM {_VEC} UNION ALL SELECT j, i, distance FROM {_VEC})"
+
+
+@_query("knn_near", f"SELECT i, j, distance, row_number() OVER (PARTITION BY i ORDER BY distance, j) AS nth FROM {_BOTHW} QUALIFY nth <= 3")
+def _(s, d):
+    return pairs.neighbours(_vectors(s, d), 3)
+
+
+@_query("knn_far", f"SELECT i, j, distance, row_number() OVER (PARTITION BY i ORDER BY distance DESC, j) AS nth FROM {_BOTHW} QUALIFY nth <= 2")
+def _(s, d):
+    return pairs.neighbours(_vectors(s, d), 2, farthest=True)
+
+
+@_query("tree_pairs", f"""SELECT DISTINCT least(i, j) AS i, greatest(i, j) AS j FROM (SELECT i, j FROM {_BOTHW} QUALIFY row_number() OVER (PARTITION BY i ORDER BY distance, j) <= 2 UNION ALL
+  SELECT i, j FROM {_BOTHW} QUALIFY row_number() OVER (PARTITION BY i ORDER BY distance DESC, j) <= 1)""")
+def _(s, d):
+    return pairs.tree_pairs(_vectors(s, d), 2, 1)
+
+
+def _dna(s, d):
+    """A sequence of A, C, G and T for each supplier, out of hashes of which some are shared."""
+    k = F.col("s_suppkey")
+    text = F.concat(*(F.repeat(F.md5(x.cast("string")), 2) for x in (k % 7, k % 5 + 100, k)))
+    return _table(s, d, "supplier").select(F.concat(F.lit("S"), (k % 12).cast("string"), F.lit("#1#c"), k.cast("string")).alias("name"), F.translate(text, "0123456789abcdef", "ACGTACGTACGTACGT").alias("sequence"))
+
+
+@_query("minhash_sketches")
+def _(s, d):
+    return pairs.sketches(_dna(s, d), 15, 50).select("name", F.size("sketch").alias("hashes"), F.get("sketch", 0).alias("least"))
+
+
+@_query("minhash_distances")
+def _(s, d):
+    return _r(pairs.sketch_distances(pairs.sketches(_dna(s, d), 15, 50), 15), "distance")
+
+
+@_query("haplotype_joblist")
+def _(s, d):
+    names = _dna(s, d).select("name")
+    dist = pairs.sketch_distances(pairs.sketches(_dna(s, d), 15, 50), 15)
+    return pairs.joblist(names, pairs.tree_pairs(dist, 2))
+
+
+@_query("random_pairs")
+def _(s, d):
+    return pairs.random_pairs(joins.all_pairs(_table(s, d, "nation"), "n_name").select(F.col("a").alias("i"), F.col("b").alias("j")), 0.3)
+
+
+@_query("jaccard_words", """WITH w AS (SELECT item_id, list_distinct(regexp_split_to_array(lower(text), '\\s+')) AS s FROM benchmark) SELECT a.item_id AS i, b.item_id AS j,
+  round(len(list_intersect(a.s, b.s)) / len(list_distinct(a.s || b.s))::DOUBLE, 6) AS jaccard FROM w a JOIN w b ON a.item_id < b.item_id""")
+def _(s, d):
+    w = _table(s, d, "benchmark").select("item_id", F.array_distinct(F.split(F.lower("text"), r"\s+")).alias("s"))
+    a, b = w.select(F.col("item_id").alias("i"), F.col("s").alias("x")), w.select(F.col("item_id").alias("j"), F.col("s").alias("y"))
+    return a.join(b, F.col("i") < F.col("j")).select("i", "j", F.round(X.jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"))
+
+
+def _sizes(s, d):
+    return _table(s, d, "customer").groupBy(F.col("c_nationkey")).agg(F.sum(F.expr("cast(abs(c_acctbal) as bigint)")).alias("total_bp")).select(F.concat(F.lit("G"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0")).alias("prefix"), "total_bp")
+
+
+_CUST = "(SELECT concat('G', lpad(c_nationkey::VARCHAR, 2, '0')) AS prefix, sum(trunc(abs(c_acctbal))::BIGINT)::BIGINT AS total_bp FROM customer GROUP BY c_nationkey)"
+
+
+@_query("batches_by_count", f"SELECT prefix, total_bp, (row_number() OVER (ORDER BY prefix) - 1) // 4 AS batch_id FROM {_CUST}")
+def _(s, d):
+    return pairs.batches_by_count(_sizes(s, d), 4)
+
+
+@_query("batches_by_bases", f"""WITH RECURSIVE o AS (SELECT prefix, total_bp, row_number() OVER (ORDER BY prefix) AS n FROM {_CUST}),
+  f AS (SELECT n, prefix, total_bp, 0::BIGINT AS batch_id, CASE WHEN total_bp > 800000 THEN 1000000000 ELSE total_bp END AS load FROM o WHERE n = 1
+  UNION ALL SELECT o.n, o.prefix, o.total_bp, CASE WHEN o.total_bp > 800000 OR f.load + o.total_bp > 800000 THEN f.batch_id + 1 ELSE f.batch_id END,
+    CASE WHEN o.total_bp > 800000 THEN 1000000000 WHEN f.load + o.total_bp > 800000 THEN o.total_bp ELSE f.load + o.total_bp END FROM f JOIN o ON o.n = f.n + 1)
+  SELECT prefix, total_bp, batch_id FROM f""")
+def _(s, d):
+    return pairs.batches_by_bases(_sizes(s, d), 800_000)
+
+
+# set operations
+@_query("union_distinct", f"""SELECT {_IDS} FROM (SELECT *, 0 AS p FROM mappings WHERE identity >= 0.95 UNION ALL SELECT *, 1 FROM mappings WHERE block_length >= 1000)
+  QUALIFY row_number() OVER (PARTITION BY query, query_start, query_end, target, target_start, target_end ORDER BY p, "rank") = 1""")
+def _(s, d):
+    m = mappings(s, d)
+    return sets.union_distinct([m.filter("identity >= 0.95"), m.filter("block_length >= 1000")]).select(*_ID)
+
+
+@_query("intersect_except", f"SELECT {_IDS}, block_length >= 1000 AS \"both\" FROM mappings WHERE identity >= 0.95")
+def _(s, d):
+    m = mappings(s, d)
+    a, b = m.filter("identity >= 0.95"), m.filter("block_length >= 1000")
+    return sets.both(a, b).select(*_ID, F.lit(True).alias("both")).unionByName(sets.only(a, b).select(*_ID, F.lit(False).alias("both")))
+
+
+# the whole plan
+@_query("full_scaffold_pipeline")
+def _(s, d):
+    return filtering.filter_mappings(mappings(s, d), PIPELINE).select(*_ID, "chain_id", "chain_status")
+
+
+@_query("scaffolds_only")
+def _(s, d):
+    return filtering.filter_mappings(mappings(s, d), PIPELINE.but(scaffolds_only=True)).select(*_ID, "chain_id", "chain_status")
