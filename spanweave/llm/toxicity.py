@@ -17,8 +17,8 @@ SIZES, BITS = (4, 5, 6), 20
 #: Training rows: without and with the label at most, and code points of one at most.
 MOST, MAX_CHARS = (6000, 4000), 20_000
 #: Added to every count; features in fewer training rows, or with a smaller log ratio, have no weight.
-ALPHA, LEAST_ROWS, LEAST_RATIO = 1.0, 6, 1.0
-ROUNDS, RATE, RIDGE = 60, 0.1, 2e-3
+ALPHA, LEAST_ROWS, LEAST_RATIO = 1.0, 3, 1.5
+ROUNDS, RATE, RIDGE = 60, 0.1, 1e-3
 BLOCK = 1 << 20
 _M1, _M2, _STEP = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
@@ -60,7 +60,7 @@ class Model:
 
 
 def train(rows: Sample) -> Model:
-    """Ratios from the counts of training rows that hold a feature; then logistic regression on the scaled features.
+    """Ratios of the shares of each class's training rows that hold a feature; then logistic regression on the scaled features.
 
     Without rows of both classes the score is the share of the label (0.5 if nothing is labelled).
     """
@@ -73,8 +73,8 @@ def train(rows: Sample) -> Model:
     seen = np.zeros((2, size))
     for t, label in zip(rows.texts, rows.y, strict=True):
         seen[label, _unique(grams(t))] += 1
-    p, q = seen[1] + ALPHA, seen[0] + ALPHA
-    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
+    rows_of = np.bincount(y.astype(int), minlength=2)
+    ratio = np.log((seen[1] + ALPHA) / (rows_of[1] + 2 * ALPHA)) - np.log((seen[0] + ALPHA) / (rows_of[0] + 2 * ALPHA))
     ratio[(seen.sum(0) < LEAST_ROWS) | (np.abs(ratio) < LEAST_RATIO)] = 0
     cols, ends = [], []
     for t in rows.texts:
@@ -93,7 +93,7 @@ def train(rows: Sample) -> Model:
     for k in range(1, ROUNDS + 1):
         z = np.bincount(row, (x * w)[col], minlength=len(y)) + b
         d = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * weight
-        g = np.bincount(col, d[row], minlength=len(used)) * x + RIDGE * w / max(1, len(used)) ** 0.5
+        g = np.bincount(col, d[row], minlength=len(used)) * x + RIDGE * w
         gb = d.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         w -= RATE / 10 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-9)
