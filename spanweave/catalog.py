@@ -112,6 +112,11 @@ def _(s, d):
     return sweep.greedy_non_overlapping(mappings(s, d), ["target", "strand"], ("target", "query"), 0.5).select(*_ID)
 
 
+@_query("sweep_at_starts")
+def _(s, d):
+    return sweep.sweep_at_starts(mappings(s, d), ["query", "target"], "query", 1, 0.5).select(*_ID)
+
+
 # ranked selections
 _TOP = f"row_number() OVER (PARTITION BY {{}} ORDER BY {_SCORE} DESC, \"rank\")"
 
@@ -443,6 +448,11 @@ def _(s, d):
     return filtering.tree_filter(mappings(s, d), 1, 1).select(*_ID)
 
 
+@_query("giant_filter")
+def _(s, d):
+    return filtering.giant_filter(mappings(s, d), 0.9).select(*_ID)
+
+
 # pair selection
 _VEC = "(SELECT a.vec_id AS i, b.vec_id AS j, round(sqrt(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda k: (a.embedding[k]::DOUBLE - b.embedding[k]) ** 2))), 6) AS distance FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.label = b.label)"
 

@@ -138,3 +138,12 @@ def x_identity(x_values: Column, query_span: Column, target_span: Column) -> Col
     total = F.aggregate(x_values, F.lit(0).cast("long"), lambda a, x: a + x)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - ((total - (target_span - query_span)) / query_span) / 2))
 
+
+def end_from_block(start: Column, block: Column) -> Column:
+    """The end of a mapping that is kept as start and block length."""
+    return start + block
+
+
+def scaled_identity(identity: Column, steps: int = 10_000) -> Column:
+    """Identity in whole steps, as packed tables keep it."""
+    return F.greatest(F.lit(0), F.least(F.lit(steps), F.round(identity * steps))).cast("int")

@@ -130,7 +130,7 @@ def _alone(group: np.ndarray, continued: bool, more: bool = False) -> np.ndarray
     return out
 
 
-def _swept(keys: list[str], start: str, end: str, flag: str, k: int, limit: float):
+def _swept(keys: list[str], start: str, end: str, flag: str, k: int, limit: float, rule=mark):
     def work(t: pa.Table, group: np.ndarray, island: np.ndarray, continued: bool) -> pa.Table:
         s, e = (t.column(c).to_numpy().astype(np.int64) for c in (start, end))
         kept = (e > s) | _alone(group, continued)
@@ -138,7 +138,7 @@ def _swept(keys: list[str], start: str, end: str, flag: str, k: int, limit: floa
         score, rank = t.column("_score").to_numpy(), t.column("rank").to_numpy()
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             if b - a > 1:
-                kept[a:b] = mark(s[a:b], e[a:b], score[a:b], rank[a:b], k, limit)
+                kept[a:b] = rule(s[a:b], e[a:b], score[a:b], rank[a:b], k, limit)
         return t.set_column(t.column_names.index(flag), flag, pa.array(kept))
 
     return stream(keys, start, end, work)
@@ -214,6 +214,35 @@ def greedy_non_overlapping(df: DataFrame, keys: list[str], axes: tuple[str, ...]
     return dealt.mapInArrow(_greedy(keys, axes, "_kept", limit), dealt.schema).filter("_kept").drop("_kept", "_score")
 
 
+def mark_at_starts(start: np.ndarray, end: np.ndarray, score: np.ndarray, rank: np.ndarray, k: int, limit: float) -> np.ndarray:
+    """A variant: intervals among the k best when some interval begins; of these, best first, what overlaps no better one by more than ``limit``."""
+    n = len(start)
+    order = np.lexsort((rank, start, -score))
+    s, e = start[order], end[order]
+    good = np.zeros(n, bool)
+    for p in np.unique(s[e > s]).tolist():
+        good[np.flatnonzero((s <= p) & (p < e))[:k]] = True
+    chosen: list[int] = []
+    for i in np.flatnonzero(good).tolist():
+        c = np.array(chosen, np.int64)
+        least = np.minimum(e[c] - s[c], e[i] - s[i])
+        if limit >= 1 or not (np.minimum(e[c], e[i]) - np.maximum(s[c], s[i]) > limit * least).any():
+            chosen.append(i)
+    kept = np.zeros(n, bool)
+    kept[order[chosen]] = True
+    return kept
+
+
+def sweep_at_starts(df: DataFrame, keys: list[str], axis: str = "query", k: int | None = 1, limit: float = 0.95, scoring: Scoring | str = Scoring.LOG_LENGTH_IDENTITY) -> DataFrame:
+    """As :func:`sweep`, by the variant that marks at starts only and then removes overlaps greedily; no limit keeps all."""
+    if k is None:
+        return df
+    ship(df.sparkSession)
+    rows = df.select("*", score_of(scoring).alias("_score"), F.lit(False).alias("_kept"))
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, f"{axis}_start", "rank")
+    return dealt.mapInArrow(_swept(keys, f"{axis}_start", f"{axis}_end", "_kept", k, limit, mark_at_starts), dealt.schema).filter("_kept").drop("_kept", "_score")
+
+
 def sweep_sql(relation: str, keys: list[str], axis: str, k: int, limit: float, score: str) -> str:
     """The sweep as SQL: ranks of the active rows at every start and end. For checks; its cost grows with depth."""
     s, e, key = f"{axis}_start", f"{axis}_end", ", ".join(keys)

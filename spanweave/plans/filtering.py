@@ -6,9 +6,10 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.exprs import prefix_last
+from ..functions.grammar import connectivity_probability
 from ..operators import chain, joins
 from ..operators.stats import best_until_covered, ani_all, genome_identities
-from ..operators.pairs import select_by_identity
+from ..operators.pairs import random_pairs, select_by_identity
 from ..operators.sweep import sweep, sweep_both, sweep_intersect
 from ..schema import FilterConfig, Scoring, Status
 from ..sources.readers import numbered_lines, parse_lenient, read_any
@@ -127,6 +128,14 @@ def tree_filter(df: DataFrame, near: int, far: int = 0, fraction: float = 0.0, s
     return joins.of_pairs(df.filter(key(F.col("query")) != key(F.col("target"))), pairs, key)
 
 
+def giant_filter(df: DataFrame, probability: float = 0.99, seed: int = 0, key=prefix_last) -> DataFrame:
+    """Mappings of a random part of genome pairs, large enough that the graph of genomes stays connected with ``probability``."""
+    pairs = genome_identities(df, key).select(F.col("a").alias("i"), F.col("b").alias("j"))
+    n = pairs.select("i").unionByName(pairs.select(F.col("j").alias("i"))).distinct().count()
+    chosen = random_pairs(pairs, connectivity_probability(n, probability), seed)
+    return joins.of_pairs(df.filter(key(F.col("query")) != key(F.col("target"))), chosen.select(F.col("i").alias("a"), F.col("j").alias("b")), key)
+
+
 def contained_with_rescue(df: DataFrame, chains: DataFrame, distance: int) -> DataFrame:
     """A variant of the scaffold plan: rows inside a chain's box are anchors, rows within ``distance`` of one are kept too."""
     anchors = joins.contained(df, chains)
@@ -134,4 +143,4 @@ def contained_with_rescue(df: DataFrame, chains: DataFrame, distance: int) -> Da
     return anchors.withColumn("chain_status", F.lit(Status.SCAFFOLD.value)).unionByName(df.join(near.select("rank"), "rank", "left_semi").withColumn("chain_status", F.lit(Status.RESCUED.value)))
 
 
-__all__ = ["contained_with_rescue", "filter_any", "filter_mappings", "filter_text", "passing", "survey", "sweep", "sweep_mappings", "tree_filter"]
+__all__ = ["contained_with_rescue", "filter_any", "filter_mappings", "filter_text", "giant_filter", "passing", "survey", "sweep", "sweep_mappings", "tree_filter"]

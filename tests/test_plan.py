@@ -136,3 +136,28 @@ def test_config_rejects_nonsense():
 def test_lines_out(spark):
     df = mappings(spark, [("q", 0, 10, "t", 5, 15, 0.5)])
     assert df.select(writers.mapping_line("dv:f:")).first()[0].endswith("\t60\tdv:f:0.500000")
+
+
+def test_command_line(spark, tmp_path):
+    from spanweave.__main__ import main
+
+    p = tmp_path / "a.paf"
+    p.write_text("\n".join([line("A#1#x", 0, 20000, "B#1#x", 0, 20000, 19000, 20000), line("A#1#x", 100, 5000, "C#1#x", 5, 4905, 4000, 4900)]) + "\n")
+    assert main(["filter", str(p), str(tmp_path / "o1"), "--num-mappings", "1:1", "--min-identity", "ani50-5", "--ani-method", "all", "--scaffold-mass", "1k"]) == 0
+    assert spark.read.text(str(tmp_path / "o1")).count() == 1
+    for k, extra in enumerate((["--no-filter"], ["--sparsify", "tree:1"], ["--sparsify", "giant:0.9", "--scaffold-jump", "0"])):
+        assert main(["filter", str(p), str(tmp_path / f"p{k}"), *extra]) == 0
+    assert main(["stats", str(p), "-d"]) == 0 and main(["stats", str(p), str(p)]) == 0
+    with pytest.raises(SystemExit):
+        main(["filter", str(p), str(tmp_path / "x"), "--sparsify", "auto"])
+
+
+def test_giant_filter(spark):
+    rows = [("A#1#x", 0, 2000, "B#1#x", 0, 2000, 0.9), ("A#1#x", 0, 2000, "A#1#y", 0, 2000, 0.1)]
+    assert ranks(filtering.giant_filter(mappings(spark, rows))) == [0]
+
+
+def test_contained_with_rescue(spark):
+    df = mappings(spark, [("q", 10, 20, "t", 10, 20, 1.0), ("q", 90, 130, "t", 90, 130, 1.0), ("q", 5000, 5010, "t", 5000, 5010, 1.0)])
+    boxes = mappings(spark, [("q", 0, 100, "t", 0, 100, 1.0)])
+    assert {r["rank"]: r["chain_status"] for r in filtering.contained_with_rescue(df, boxes, 200).collect()} == {0: "scaffold", 1: "rescued"}

@@ -105,3 +105,9 @@ def test_empty_table(spark):
 def test_greedy(spark):
     rows = [("q", 0, 100, "t", 0, 100, 1.0), ("q", 50, 120, "t", 0, 100, 1.0), ("q", 100, 150, "t", 0, 100, 1.0)]
     assert ranks(sweep.greedy_non_overlapping(mappings(spark, rows), ["query"])) == [0, 2]
+
+
+def test_marks_at_starts():
+    s, e = np.array([0, 50, 200, 210]), np.array([100, 150, 300, 260])
+    assert sweep.mark_at_starts(s, e, np.array([3.0, 2.0, 1.0, 5.0]), np.arange(4), 1, 0.3).tolist() == [True, False, False, True]
+    assert sweep.mark_at_starts(s, e, np.array([3.0, 2.0, 1.0, 5.0]), np.arange(4), 2, 1.0).tolist() == [True] * 4
