@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import NON_SPACE, table, written
+from .common import NON_SPACE, small, table, written
 
 #: Targets of the registered query and of the pipeline; a name that is missing has weight 1.
 DOMAINS = {"hub": 40, "core": 35, "tail": 25}
@@ -85,7 +85,7 @@ def mix(docs: DataFrame, domains: Mapping[str, int] = DOMAINS, langs: Mapping[st
     def hashed(of: Column) -> Column:
         return F.md5(F.concat_ws("|", F.lit(seed), F.col("full").cast("string"), of))
 
-    rows = thin.join(plan, leaf).select(*leaf, "tokens", "rest", hashed(F.col("key")).alias("h")).withColumn("range", F.substring("h", 1, 3))
+    rows = thin.join(small(plan), leaf).select(*leaf, "tokens", "rest", hashed(F.col("key")).alias("h")).withColumn("range", F.substring("h", 1, 3))
     sums = rows.groupBy(*leaf, "range").agg(F.sum("tokens").alias("tokens"), F.first("rest").alias("rest"), F.max("h").alias("top"))
     sums = sums.withColumn("upto", F.sum("tokens").over(W.partitionBy(*leaf).orderBy("range")))
     fits = sums.filter("upto <= rest").groupBy(*leaf).agg(F.max("top").alias("cut"))
@@ -96,7 +96,7 @@ def mix(docs: DataFrame, domains: Mapping[str, int] = DOMAINS, langs: Mapping[st
 
     kept = [c for c in docs.columns if c not in ("domain", "tokens", "copies")]
     out = docs.select(*kept, domain.alias("domain"), lang.alias("_l"), source.alias("_s"), F.regexp_count(text, F.lit(NON_SPACE + "+")).cast("long").alias("tokens"))
-    out = out.join(plan, (F.col("domain") == F.col("_domain")) & (F.col("_l") == F.col("_lang")) & (F.col("_s") == F.col("_source")))
+    out = out.join(small(plan), (F.col("domain") == F.col("_domain")) & (F.col("_l") == F.col("_lang")) & (F.col("_s") == F.col("_source")))
     return out.select(*kept, "domain", "tokens", (F.col("full") + F.when(hashed(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) <= F.col("cut"), 1).otherwise(0)).cast("long").alias("copies"))
 
 

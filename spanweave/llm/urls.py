@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import table
+from .common import small, table, written
 
 #: Validity intervals are cut at multiples of so many days, so that a join key is an entry and a span of time.
 SPAN_DAYS = 32
@@ -36,7 +36,8 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", d
 
     An entry ``example.com`` covers ``example.com`` and every host below it. Only the distinct hosts and days are joined
     with the entries, on entry and span of days together: a hot host costs one row per day, and an entry that was added
-    and removed often meets only the intervals near the day.
+    and removed often meets only the intervals near the day. A list of few intervals is broadcast; with a longer one the
+    join is a shuffle whose hot keys (such as ``com``) Spark splits.
 
     Null or malformed URL: host '' and not blocked. Null day: not blocked. Repeated captures stay as they are. Empty
     tables give no captures, or none blocked. Columns of these names in ``captures`` are replaced.
@@ -50,7 +51,7 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", d
     last = seen.agg(F.max("_day")).first()[0] or 0
     held = intervals(entries.withColumn("key", F.lower("key"))).filter(F.col("since") <= last)
     held = held.withColumn("span", F.explode(F.sequence(F.floor(F.col("since") / SPAN_DAYS), F.floor(F.least(F.coalesce(F.col("until") - 1, F.lit(last)), F.lit(last)) / SPAN_DAYS))))
-    met = keys.join(held, ["key", "span"]).filter((F.col("since") <= F.col("_day")) & (F.col("until").isNull() | (F.col("_day") < F.col("until"))))
+    met = keys.join(small(written(held, "url-intervals")), ["key", "span"]).filter((F.col("since") <= F.col("_day")) & (F.col("until").isNull() | (F.col("_day") < F.col("until"))))
     verdict = met.groupBy(F.col("host").alias("_host"), "_day").agg(F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"), F.min("since").alias("listed_since"))
     out = rows.join(verdict, (F.col("host") == F.col("_host")) & (F.col(day_col) == F.col("_day")), "left")
     return out.select(*rows.columns, F.col("lists").isNotNull().alias("blocked"), F.coalesce("lists", F.lit("")).alias("lists"), "listed_since")
