@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import NON_SPACE, SPACE, table, written
+from .common import NON_SPACE, SPACE, small, table, written
 
 SYMBOLS = "#*$%&|<>"
 #: A language's source with fewer rows is judged with the rest of its language, and that with all such rows.
@@ -104,14 +104,15 @@ def _centre(rows: DataFrame) -> DataFrame:
 def _step(rows: DataFrame, params: DataFrame) -> DataFrame:
     """One concentration step: mean and covariance of the rows of each pool that lie nearest by ``params``.
 
-    "Nearest" is read off counts of binned distances: no rows are sorted, and a hot pool is summed by many tasks.
+    "Nearest" is read off counts of binned distances: no rows are sorted, and a hot pool is summed by many tasks, as
+    the tables with a row per pool are small enough to broadcast (a shuffled join otherwise).
     """
-    far = rows.join(params, "pool").withColumn("_b", _bin(_distance()))
+    far = rows.join(small(params), "pool").withColumn("_b", _bin(_distance()))
     bins = far.groupBy("pool", "_b").agg(F.count("*").alias("n"))
     of = W.partitionBy("pool")
     upto = bins.withColumn("upto", F.sum("n").over(of.orderBy("_b"))).withColumn("all", F.sum("n").over(of))
     edge = upto.filter(f"{CORE[1]} * upto >= {CORE[0]} * `all`").groupBy("pool").agg(F.min("_b").alias("_edge"))
-    core = far.join(edge, "pool").filter("_b <= _edge")
+    core = far.join(small(written(edge, "rules-edge")), "pool").filter("_b <= _edge")
     sums = core.groupBy("pool").agg(
         F.count("*").alias("n"), F.first("_edge").alias("_edge"), *(F.sum(f"{_N}{i}").alias(f"s{i}") for i in range(P)),
         *(F.sum(F.col(f"{_N}{i}") * F.col(f"{_N}{j}")).alias(f"p{i}{j}") for i in range(P) for j in range(i + 1)))
@@ -137,7 +138,7 @@ def fit(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     good = rows.filter("not base_failed").select("*", F.col("_lang").alias("lang_"), F.col("_source").alias("source_"))
     good = good.drop("lang", "source").withColumnsRenamed({"lang_": "lang", "source_": "source"})
     pools = written(_pooled(good), "rules-pools")
-    good = good.join(pools, ["lang", "source"]).withColumns(_features()).select("pool", *(f"{_N}{i}" for i in range(P)))
+    good = good.join(small(pools), ["lang", "source"]).withColumns(_features()).select("pool", *(f"{_N}{i}" for i in range(P)))
     params = written(_centre(good), "rules-centre")
     for _ in range(STEPS):
         params = written(_step(good, params), "rules-step")
@@ -148,7 +149,7 @@ def verdicts(rows: DataFrame, fitted: tuple[DataFrame, DataFrame]) -> DataFrame:
     """``rows`` with base counts, with ``distance`` and ``kept``."""
     pools, params = fitted
     own = [c for c in rows.columns if c not in ("distance", "kept")]
-    out = rows.join(pools, ["_lang", "_source"], "left").join(params, "pool", "left").withColumns(_features())
+    out = rows.join(small(pools), ["_lang", "_source"], "left").join(small(params), "pool", "left").withColumns(_features())
     out = out.withColumn("_far", F.when(~F.col("base_failed"), F.round(_distance() / F.col("_scale"), 3)))
     return out.select(*own, F.col("_far").alias("distance"), (~F.col("base_failed") & (F.col("_far") <= CUT)).alias("kept"))
 
