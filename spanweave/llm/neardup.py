@@ -14,7 +14,11 @@ from .common import small_batches, table, written
 #: SetSketch with base B, rate A and registers 0 .. Q + 1.
 B, A, Q = 1.001, 20.0, (1 << 16) - 2
 #: Standard errors by which an estimate may lie under the threshold before a pair is let go.
-SLACK = 5.0
+SLACK = 4.0
+#: Bucket ends with which a text is compared first, those with which it shares most buckets; others follow where still needed.
+FIRST = 6
+#: Ids that are sent to all executors at most (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 _POLY, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -170,9 +174,10 @@ def _estimated(rule: Rule):
                 continue
             one, two = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(b.num_rows, -1) for c in ("ra", "rb"))
             na, nb = (b.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("na", "nb"))
-            good = np.flatnonzero(estimate(one, two, na, nb) >= low)
+            found = estimate(one, two, na, nb)
+            good = np.flatnonzero(found >= low)
             if len(good):
-                yield pa.RecordBatch.from_arrays([b.column("a").take(pa.array(good)), b.column("b").take(pa.array(good))], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([b.column("a").take(pa.array(good)), b.column("b").take(pa.array(good)), pa.array(found[good])], ["a", "b", "guess"])
 
     return run
 
@@ -202,50 +207,75 @@ def _verified(rule: Rule):
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component): the least id reachable over undirected ``edges`` (a, b); ids without an edge are absent.
 
-    Each round, every node tells its neighbours and its least one the least id it knows, which shortens paths as it
-    spreads labels; rounds end when nothing changes. Every exchange is an aggregation by node with partial minima, so a
-    node with many edges is no burden, and each round's state is written to the shared folder.
+    Each round, every node tells its neighbours the least id it knows, and the node of that id hears of any lesser one,
+    which shortens paths as labels spread; rounds end when nothing changes. Exchanges are aggregations by node with
+    partial minima or joins on a node, so a node with many edges is no burden, and each round is written to the shared
+    folder.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b")
     both = written(both, "cc-edges")
     label = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("c")), "cc-label")
     for _ in range(rounds):
-        told = both.join(label, both.a == label.id).select(F.col("b").alias("id"), "c")
-        jump = label.join(label.select(F.col("id").alias("c"), F.col("c").alias("cc")), "c").select("id", F.col("cc").alias("c"))
-        up = label.join(told.withColumnRenamed("c", "n"), "id").select(F.col("c").alias("id"), F.col("n").alias("c"))
-        new = written(told.unionByName(jump).unionByName(up).unionByName(label.select("id", "c")).groupBy("id").agg(F.min("c").alias("c")), "cc-label")
-        changed = new.join(label.withColumnRenamed("c", "was"), "id").filter("c <> was").limit(1).count()
-        label = new
-        if not changed:
-            return label.select("id", F.col("c").alias("component"))
+        told = both.join(label, both["a"] == label["id"]).groupBy(F.col("b").alias("id")).agg(F.min("c").alias("n"))
+        heard = told.join(label, "id").select("id", "c", F.least("c", "n").alias("n"))
+        said = heard.select(F.explode(F.array(F.struct(F.col("id"), F.col("n").alias("c"), F.col("c").alias("was")), F.struct(F.col("c").alias("id"), F.col("n").alias("c"), F.lit(None).cast("long").alias("was")))).alias("x"))
+        new = written(said.groupBy("x.id").agg(F.min("x.c").alias("c"), F.max("x.was").alias("was")), "cc-label")
+        if not new.filter("c <> was").limit(1).count():
+            return new.select("id", F.col("c").alias("component"))
+        label = new.select("id", "c")
     raise RuntimeError("components did not settle")
 
 
-def _check(pairs: DataFrame, profiles: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b, linked, likeness) of candidate pairs that the likelihood estimate lets pass, from their whole texts."""
-    spark = pairs.sparkSession
+def _guess(pairs: DataFrame, profiles: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b, guess) of candidate pairs whose sizes and likelihood estimate don't rule a link out."""
     small = f"least(na, nb) * {rule.den} >= greatest(na, nb) * {rule.num}"
     r = profiles.select("id", "n", "registers")
     two = pairs.join(r.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra")), "a")
     two = two.join(r.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb")), "b").filter(small)
-    near = written(two.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_estimated(rule), "a long, b long"), "near-pairs")
-    small_batches(spark, 512)
-    named = near.select("a").unionByName(near.select(F.col("b").alias("a"))).distinct()
-    of = written(texts.join(named.withColumnRenamed("a", "id"), "id", "left_semi").select("id", "text"), "near-texts")
+    return written(two.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_estimated(rule), "a long, b long, guess double"), "near-pairs")
+
+
+def _verify(near: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b, linked, likeness) of pairs from their whole texts."""
+    small_batches(near.sparkSession, 512)
+    named = written(near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct(), "near-named")
+    few = named.count() <= BROADCAST_IDS
+    of = written(texts.join(F.broadcast(named) if few else named, "id", "left_semi").select("id", "text"), "near-texts")
     full = near.join(of.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(of.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return full.select("a", "b", "ta", "tb").mapInArrow(_verified(rule), "a long, b long, linked boolean, likeness double")
+    return written(full.select("a", "b", "ta", "tb").mapInArrow(_verified(rule), "a long, b long, linked boolean, likeness double"), "near-links")
+
+
+def _check(pairs: DataFrame, profiles: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    return _verify(_guess(pairs, profiles, rule).select("a", "b"), texts, rule)
+
+
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose components differ."""
+    c = lambda k: found.select(F.col("id").alias(k), F.col("component").alias(f"c{k}"))
+    both = pairs.join(c("a"), "a", "left").join(c("b"), "b", "left")
+    return both.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
+
+
+def _mixed(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """Members (key, id, n, low, high) of buckets that hold several components, with their component c and those of low and high."""
+    known = shared.join(found, "id", "left").select("key", "id", "n", "low", "high", F.coalesce("component", "id").alias("c"))
+    mixed = known.groupBy("key").agg(
+        F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.when(F.col("id") == F.col("low"), F.col("c"))).alias("c_low"), F.min(F.when(F.col("id") == F.col("high"), F.col("c"))).alias("c_high"))
+    return written(known.join(mixed.filter("c0 < c1").select("key", "c_low", "c_high"), "key"), "near-open")
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     1. Texts with one and the same shingle set are a class (a 128-bit sum of its hashes); its least id stands for it.
-    2. Classes get SetSketch registers; bands of registers are buckets. In every bucket each member is paired with the
-       least and the greatest id, which is linear in the bucket. Pairs whose sizes allow the similarity are estimated by
-       likelihood; what isn't clearly below is compared on whole sets. Links make components.
-    3. Where a bucket still holds several components, each member outside the one that most of the bucket has is paired
-       with the members of other components, except where the measured distances to the bucket's least id rule a link
-       out by the triangle inequality. Those pairs are checked as before, and components are made of all links.
+    2. Classes get SetSketch registers; bands of registers are buckets. The least and the greatest id of a bucket are its ends;
+       each class is paired with the FIRST ends with which it shares most buckets. Pairs whose sizes allow the similarity are estimated by likelihood; what isn't clearly below is
+       compared on whole sets. Links make components.
+    3. In buckets that still hold several components, members are paired with the ends that are in another component,
+       and checked as before.
+    4. Where a bucket holds several components even then, each member outside the one that most of the bucket has is
+       paired with the members of other components, except where the measured distances to the bucket's least id rule a
+       link out by the triangle inequality. Those pairs are checked too, and components are made of all links.
     So no link between candidates is lost and a group of near copies is never spread out into all its pairs.
 
     Null or empty text, or only white space: no shingles, component of its own. Null ids get null components and are
@@ -267,13 +297,21 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
     buckets = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
     buckets = written(buckets, "near-buckets")
     shared = written(rows.join(buckets, "key"), "near-shared")  # members of buckets with two ids or more
-    star = shared.select(F.col("low").alias("a"), F.col("id").alias("b")).unionByName(shared.select(F.col("id").alias("a"), F.col("high").alias("b"))).filter("a < b").distinct()
-    links = written(_check(star, profiles, texts, rule), "near-links")
+    ends = shared.select(F.col("low").alias("a"), F.col("id").alias("b"), F.col("id").alias("own")).unionByName(shared.select(F.col("id").alias("a"), F.col("high").alias("b"), F.col("id").alias("own")))
+    ends = ends.filter("a < b").groupBy("own", "a", "b").agg(F.count("*").alias("m"))
+    first = ends.withColumn("nth", F.row_number().over(W.partitionBy("own").orderBy(F.col("m").desc(), "a", "b"))).filter(F.col("nth") <= FIRST)
+    lead = written(first.select("a", "b").distinct(), "near-first")
+    links = _check(lead, profiles, texts, rule)
+    found = components(links.filter("linked"))
+    open_rows, star = _mixed(shared, found), lead
+    wide = open_rows.select(F.col("low").alias("a"), F.col("id").alias("b"), "c", F.col("c_low").alias("d")).unionByName(open_rows.select(F.col("id").alias("a"), F.col("high").alias("b"), "c", F.col("c_high").alias("d")))
+    wide = written(wide.filter("a < b and c <> d").select("a", "b").distinct().join(star, ["a", "b"], "left_anti"), "near-star")
+    if wide.limit(1).count():
+        links = written(links.unionByName(_check(wide, profiles, texts, rule)), "near-links")
+        star = star.unionByName(wide)
+        found = components(links.filter("linked"))
+        open_rows = _mixed(shared, found)
 
-    first = components(links.filter("linked"))
-    known = shared.join(first, "id", "left").select("key", "id", "n", "low", F.coalesce("component", "id").alias("c"))
-    mixed = known.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("key")
-    open_rows = written(known.join(mixed, "key"), "near-open")
     sizes = open_rows.groupBy("key", "c").agg(F.countDistinct("id").alias("m"))
     main = sizes.groupBy("key").agg(F.max(F.struct("m", "c")).alias("x")).select("key", F.col("x.c").alias("main"))
     far = links.select(F.col("a").alias("low"), F.col("b").alias("id"), (1 - F.col("likeness")).alias("d"))
@@ -285,13 +323,17 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
     rest = one.join(two, "key").filter(f"ci <> cj and least(ni, nj) * {rule.den} >= greatest(ni, nj) * {rule.num} and (di is null or dj is null or abs(di - dj) <= {reach})")
     rest = rest.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     rest = written(rest, "near-rest")
-    linked = links.filter("linked").select("a", "b")
     if rest.limit(1).count():
-        more = written(_check(rest, profiles, texts, rule).filter("linked").select("a", "b"), "near-more")
-        linked = linked.unionByName(more)
-    final = components(linked)
-
-    named = heads.join(final, heads["head"] == final["id"], "left").select(*same, F.coalesce("component", "head").alias("component"))
+        # the likely ones first: most of what they join needs no further check
+        near, linked = _guess(rest, profiles, rule), links.filter("linked").select("a", "b")
+        least = rule.num / rule.den
+        for low, high in ((least, 2.0), (least - 0.03, least), (0.0, least - 0.03)):
+            some = written(_apart(near.filter((F.col("guess") >= low) & (F.col("guess") < high)).select("a", "b"), found), "near-some")
+            if some.limit(1).count():
+                linked = linked.unionByName(_verify(some, texts, rule).filter("linked").select("a", "b"))
+                found = components(linked)
+
+    named = heads.join(found, heads["head"] == found["id"], "left").select(*same, F.coalesce("component", "head").alias("component"))
     out = made.select("id", *same).join(named, same, "left").withColumn("component", F.coalesce("component", "id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 

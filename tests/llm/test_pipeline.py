@@ -40,8 +40,13 @@ def test_stages(spark):
             assert after.keys() == {i for i, (_, c) in brute([(i, r["text"]) for i, r in before.items()], Rule()).items() if i == c}
         elif name == "mixture":
             n = {i: counts(r["text"])[0] for i, r in before.items()}
-            part = sum(n[i] for i in after) / sum(n.values())
-            assert 0.45 < part <= 0.5
+            # what a leaf leaves unspent is less than its next document
+            most = {}
+            for i, r in before.items():
+                leaf = r["source"], r["lang"]
+                most[leaf] = max(most.get(leaf, 0), n[i])
+            taken, half = sum(n[i] for i in after), sum(n.values()) // 2
+            assert half - sum(most.values()) <= taken <= half
         docs = out
 
 
