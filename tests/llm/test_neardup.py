@@ -103,3 +103,12 @@ def test_components(spark):
     got = {r["id"]: r["component"] for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(n + 1)}, 100: 100, 101: 100, 105: 100}
     assert neardup.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_components_of_a_long_path(spark, shuffled):
+    ids = list(range(1500))
+    if shuffled:
+        random.Random(5).shuffle(ids)
+    rows = neardup.components(spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")).collect()
+    assert sorted((r["id"], r["component"]) for r in rows) == [(i, 0) for i in range(1500)]
