@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import small_batches, table
 
 #: Code points of a k-mer and of the inner substrings of which the least must lie at an edge.
-K, S = 32, 10
+K, S = 16, 10
 #: Code points hashed at once.
 BLOCK = 1 << 20
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -33,14 +33,14 @@ def _join(a: np.ndarray, b: np.ndarray, width: int, which: int) -> np.ndarray:
     return a[:n] * _A[which] + b[width:]
 
 
-def _block(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _block(codes: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the k-mers that are taken; of a whole text without one, those of its least k-mer."""
     h1 = _mix(codes.astype(np.uint64) + np.uint64(1))
     h2 = _join(h1, h1, 1, 0)
     h4 = _join(h2, h2, 2, 1)
     h8 = _join(h4, h4, 4, 2)
     inner = _mix(_join(h8, h2, 8, 3))  # S code points
-    h16 = _join(h8, h8, 8, 4)
-    outer = _join(h16, h16, 16, 5)  # K code points
+    outer = _mix(_join(h8, h8, 8, 4))  # K code points
     w = K - S + 1
     least, span = inner, 1
     while 2 * span <= w:
@@ -48,15 +48,18 @@ def _block(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if span < w:
         least = np.minimum(least[: len(least) - (w - span)], least[w - span :])
     at = np.flatnonzero((least == inner[: len(least)]) | (least == inner[w - 1 :]))
-    return at, (_mix(outer[at]) >> np.uint64(32)).astype(np.uint32)
+    if whole and not len(at):
+        at = np.array([np.argmin(outer)])
+    return at, (outer[at] >> np.uint64(32)).astype(np.uint32)
 
 
 def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Places and 32-bit hashes of the closed syncmers of a whole text.
 
     A k-mer is taken if the least hash of its inner substrings is that of its first or its last one: this depends on the
-    k-mer alone, and any K - S k-mers in a row hold one that is taken. A text shorter than K has one anchor, its own hash;
-    an empty text has none.
+    k-mer alone, and any K - S k-mers in a row hold one that is taken. A text with fewer k-mers and none taken has its least
+    k-mer as its one anchor; a text shorter than K has its own hash. So only an empty text has none. Half of a text under
+    2 K code points holds no whole k-mer, so such a text has nothing in common with one that shares only that half.
     """
     n = len(text)
     if not n:
@@ -67,7 +70,7 @@ def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(1, np.int64), np.array([own], np.uint32)
     parts = []
     for i in range(0, n - K + 1, BLOCK):
-        at, h = _block(codes[i : i + BLOCK + K - 1])
+        at, h = _block(codes[i : i + BLOCK + K - 1], n - K < BLOCK)
         parts.append((at + i, h))
     return np.concatenate([p for p, _ in parts]), np.concatenate([h for _, h in parts])
 

@@ -72,6 +72,26 @@ def test_likeness():
     assert fingerprint.likeness(f(a[1500:] + a[:1500]), f(a)) < 0.6  # order counts
 
 
+def test_short_texts_have_anchors():
+    g = random.Random(6)
+    words = ["".join(g.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(g.randint(2, 9))) for _ in range(200)]
+    t = lambda n: " ".join(g.choice(words) for _ in range(n))[:n]
+    for n in range(1, 90):
+        for _ in range(10):
+            a, b = t(n), t(n)
+            f, h = fingerprint.anchors(a), fingerprint.anchors(b)
+            assert len(f[0]) and fingerprint.likeness(f, f) == 1 and fingerprint.likeness(f, fingerprint.anchors("")) == 0
+            assert [x.tolist() for x in fingerprint.unpack(fingerprint.pack(f))] == [x.tolist() for x in f]
+            assert a == b or fingerprint.likeness(f, h) < 1
+
+
+def test_short_texts_are_compared_by_position():
+    g = random.Random(7)
+    t = lambda n: "".join(g.choice("abcdefghij ") for _ in range(n))
+    near = [fingerprint.likeness(fingerprint.anchors(a), fingerprint.anchors(fingerprint.edited(a, t(60)))) for a in (t(60) for _ in range(200))]
+    assert max(near) < 1 and sum(x > 0 for x in near) > 190 and 0.2 < sum(near) / len(near) < 0.6
+
+
 def test_next_document(spark):
     docs = table(spark, SF, "documents")
     want = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
