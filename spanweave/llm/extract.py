@@ -168,8 +168,8 @@ def main_text(page: str | None) -> str:
     """The main text of a page, one block a line; '' if there is none.
 
     Elements that name themselves menus, adverts, comments and so on never count. Of the other text nodes, those whose
-    tag path scores over the threshold are content. If most of it lies in an article or main element, that element is
-    the main text, whole; else it is every block beside a content node in the same container.
+    tag path scores over the threshold are content. If most of it lies in article or main elements, those that hold any
+    of it are the main text, whole; else it is every block beside a content node in the same container.
     """
     found = _nodes(page or "")
     nodes = [(e, t) for _, e, t in found if t.strip()]
@@ -180,13 +180,13 @@ def main_text(page: str | None) -> str:
     spread = math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))
     content = [n for n, s in zip(nodes, scores, strict=True) if s >= STRICT * spread] or nodes
     total = sum(len(t) for _, t in content)
-    held: dict[int, tuple[_Element, int]] = {}
+    held: dict[int, int] = {}
     boxes = set()
     for e, t in content:
         if e.article is not None:
-            held[id(e.article)] = (e.article, held.get(id(e.article), (None, 0))[1] + len(t))
+            held[id(e.article)] = held.get(id(e.article), 0) + len(t)
         boxes.add(id(_box(e)))
-    articles = {k for k, (_, n) in held.items() if 10 * n >= total} if 2 * sum(n for _, n in held.values()) >= total else None
+    articles = (set(held) or None) if 2 * sum(held.values()) >= total else None
     lines, now, parts = [], None, []
     for block, e, t in found:
         if (id(e.article) not in articles) if articles is not None else (id(_box(e)) not in boxes):

@@ -196,6 +196,13 @@ def test_main_text(box):
     assert extract.main_text(page) == WANT
 
 
+@pytest.mark.parametrize("lengths", [[3] * 12, [40] + [2] * 3, [3] * 30])
+def test_sibling_articles(lengths):
+    texts = [f"Part {i}, with some words; and then more of them. " * n for i, n in enumerate(lengths)]
+    page = PAGE.replace("{body}", "<div>" + "".join(f"<article><p>{t}</p></article>" for t in texts) + "</div>")
+    assert extract.main_text(page) == "\n".join(t.strip() for t in texts)
+
+
 @pytest.mark.parametrize(("page", "want"), [(None, ""), ("", ""), ("plain  text", "plain text"), ("<p>a<p>b", "a\nb"), ("<div", ""), ("<p>x &amp;lt; <b>y</b>z</p>", "x &lt; yz"), ("<script>x", ""), ('<p title="a>b">c</p>', "c"), ("<nav>only</nav>", ""), ("a < b", "a < b")])
 def test_main_text_odd(page, want):
     assert extract.main_text(page) == want
