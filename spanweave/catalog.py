@@ -458,7 +458,7 @@ _VEC = "(SELECT a.vec_id AS i, b.vec_id AS j, round(sqrt(list_sum(list_transform
 
 
 def _vectors(s, d):
-    """Distances of the vectors with one label: the all-against-all table of sequences, in small."""
+    """Distances of the vectors with one label; for neighbours among all vectors see :func:`pairs.nearest`."""
     v = _table(s, d, "embeddings").select("vec_id", "embedding", "label")
     a, b = v.select(F.col("vec_id").alias("i"), F.col("embedding").alias("x"), "label"), v.select(F.col("vec_id").alias("j"), F.col("embedding").alias("y"), "label")
     square = F.aggregate(F.zip_with("x", "y", lambda p, q: (p.cast("double") - q) * (p.cast("double") - q)), F.lit(0.0), lambda t, z: t + z)
@@ -484,6 +484,27 @@ def _(s, d):
     return pairs.tree_pairs(_vectors(s, d), 2, 1)
 
 
+def _every(s, d):
+    return _table(s, d, "embeddings").select(F.col("vec_id").alias("i"), F.col("embedding").alias("x"))
+
+
+# the same of all vectors, whatever their label; SQL would list every pair
+@_query("knn_near_all")
+def _(s, d):
+    return _r(pairs.nearest(_every(s, d), 3), "distance")
+
+
+@_query("knn_far_all")
+def _(s, d):
+    return _r(pairs.nearest(_every(s, d), 2, farthest=True), "distance")
+
+
+@_query("tree_pairs_all")
+def _(s, d):
+    v = _every(s, d)
+    return pairs.canonical(pairs.nearest(v, 2).select("i", "j").unionByName(pairs.nearest(v, 1, farthest=True).select("i", "j")))
+
+
 def _dna(s, d):
     """A sequence of A, C, G and T for each supplier, out of hashes of which some are shared."""
     k = F.col("s_suppkey")

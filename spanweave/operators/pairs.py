@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.exprs import kmer_hash, mash_distance, pansn_key
 from ..functions.grammar import Selection
+from ..session import ship
 
 K, SKETCH = 15, 1000
+#: Vectors of a block; two blocks are compared at once, so many rows of the first by all of the second.
+BLOCK, CHUNK = 4096, 256
 
 
 def sketches(sequences: DataFrame, k: int = K, size: int = SKETCH) -> DataFrame:
@@ -46,6 +52,75 @@ def neighbours(distances: DataFrame, k: int, farthest: bool = False) -> DataFram
     return both.withColumn("nth", F.row_number().over(W.partitionBy("i").orderBy(order, "j"))).filter(F.col("nth") <= k)
 
 
+def _best(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, k: int, sign: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of ``ids``, signed distance, id) of the k best of ``others`` for each row, and of those that equal them but for rounding.
+
+    Products of matrices choose; distances of what they choose are sums in order of the elements, the same wherever a pair is met.
+    """
+    xx, yy = (x * x).sum(1), (y * y).sum(1)
+    slack = 1e-9 * (xx + np.nanmax(yy, initial=0.0)) + 1e-300
+    for at in range(0, len(ids), CHUNK):
+        to = min(at + CHUNK, len(ids))
+        s = sign * (xx[at:to, None] + yy - 2 * (x[at:to] @ y.T))
+        s[np.isnan(s) | (ids[at:to, None] == others)] = np.inf
+        last = np.partition(s, min(k, len(others)) - 1, axis=1)[:, min(k, len(others)) - 1]
+        row, of = np.nonzero((s <= (last + slack[at:to])[:, None]) & (s < np.inf))
+        total = np.zeros(len(row))
+        for e in range(x.shape[1]):
+            total += (x[at + row, e] - y[of, e]) ** 2
+        yield at + row, sign * np.sqrt(total), others[of]
+
+
+def _nearest(k: int, sign: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, rows, d, j = None, None, None, None, None
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(j), pa.array(sign * d)], ["i", "j", "distance"])
+
+        def block(column: pa.Array, at: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
+            i, x = column[at].values.flatten()
+            return i.to_numpy(zero_copy_only=False), x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+        for b in batches:
+            for at in range(b.num_rows):
+                now = b.column("dim")[at].as_py(), b.column("block")[at].as_py()
+                mine, x = block(b.column("mine"), at, now[0])
+                if now != key:
+                    if key is not None:
+                        yield out()
+                    key, ids, rows, d, j = now, mine, np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+                # the order of a block's rows may differ from task to task, not in one
+                parts = [(rows, d, j), *_best(mine, x, *block(b.column("other"), at, now[0]), k, sign)]
+                rows, d, j = (np.concatenate(c) for c in zip(*parts, strict=True))
+                order = np.lexsort((j, d, rows))
+                rows, d, j = rows[order], d[order], j[order]
+                keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+                rows, d, j = rows[keep], d[keep], j[keep]
+        if key is not None:
+            yield out()
+
+    return run
+
+
+def nearest(vectors: DataFrame, k: int, farthest: bool = False, block: int = BLOCK) -> DataFrame:
+    """(i, j, distance, nth): the k nearest (or farthest) of all other ``vectors`` (i, x) for each i, by Euclidean distance, of equal ones the least j.
+
+    Every block of vectors meets every block, as one row with a running best k, so work grows with the square of the table
+    while rows grow with the table. Ids are distinct. Vectors of other lengths, and null, empty or NaN ones, have no distance.
+    """
+    ship(vectors.sparkSession)
+    v = vectors.select(F.col("i").cast("long").alias("i"), F.col("x").cast("array<double>").alias("x")).filter("i is not null and size(x) > 0")
+    n = max(1, math.ceil(v.count() / block))
+    dealt = v.select(F.size("x").alias("dim"), F.pmod(F.xxhash64("i"), F.lit(n)).cast("int").alias("block"), F.struct("i", "x").alias("v"))
+    blocks = dealt.groupBy("dim", "block").agg(F.collect_list("v").alias("vs"))
+    other = blocks.select("dim", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), F.col("vs").alias("other"))
+    met = blocks.withColumnRenamed("vs", "mine").join(other, ["dim", "block"])
+    found = met.select("dim", "block", "mine", "other").mapInArrow(_nearest(k, -1 if farthest else 1), "i long, j long, distance double")
+    order = F.col("distance").desc() if farthest else F.col("distance").asc()
+    return found.withColumn("nth", F.row_number().over(W.partitionBy("i").orderBy(order, "j"))).filter(F.col("nth") <= k)
+
+
 def random_pairs(pairs: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
     """The pairs (i, j) whose seeded hash falls into a fraction of its range: the same ones each time."""
     return pairs.filter(F.pmod(F.xxhash64(F.lit(seed), "i", "j"), F.lit(1_000_000)) < int(fraction * 1_000_000))
