@@ -14,7 +14,7 @@ from .common import small, small_batches, table, written
 #: SetSketch with base B, rate A and registers 0 .. Q + 1.
 B, A, Q = 1.001, 20.0, (1 << 16) - 2
 #: Standard errors by which an estimate may lie under the threshold before a pair is let go.
-SLACK = 4.0
+SLACK = 5.0
 #: Bucket ends with which a text is compared first, those with which it shares most buckets; others follow where still needed.
 FIRST = 6
 #: Ids that are sent to all executors at most (8 bytes each); more are joined by a shuffle.
@@ -280,7 +280,7 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
     4. Where a bucket holds several components even then, each member outside the one that most of the bucket has is
        paired with the members of other components, except where the measured distances to the bucket's least id rule a
        link out by the triangle inequality. Those pairs are checked too, and components are made of all links.
-    So no link between candidates is lost and a group of near copies is never spread out into all its pairs.
+    So a link between candidates is lost only where the estimate lies SLACK standard errors under the threshold, and a group of near copies is never spread out into all its pairs.
 
     Null or empty text, or only white space: no shingles, component of its own. Null ids get null components and are
     kept. Rows with equal ids must have one text; they are one document here. An empty table gives no rows. Other

@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spanweave.llm import neardup
@@ -112,3 +113,15 @@ def test_components_of_a_long_path(spark, shuffled):
         random.Random(5).shuffle(ids)
     rows = neardup.components(spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")).collect()
     assert sorted((r["id"], r["component"]) for r in rows) == [(i, 0) for i in range(1500)]
+
+
+@pytest.mark.parametrize("rule", [neardup.CONTRACT, neardup.Rule()])
+def test_estimates_well_under_the_threshold_are_still_compared(rule):
+    m, t = rule.registers, rule.num / rule.den
+    differ = round(m * (1 - t + 4.5 * (t * (1 - t) / m) ** 0.5) / 2)
+    a = np.full(m, 30000, "<u2")
+    b = a.copy()
+    b[:differ] += 500
+    b[differ : 2 * differ] -= 500
+    batch = pa.RecordBatch.from_pydict({"a": [1], "b": [2], "na": [500], "nb": [500], "ra": [a.tobytes()], "rb": [b.tobytes()]})
+    assert [x.num_rows for x in neardup._estimated(rule)([batch])] == [1]
