@@ -24,7 +24,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul caption".split())
 _CONTAINER = frozenset("article main section div td body html center".split())
 #: Elements that are never part of an article.
-_NEVER = frozenset("head nav footer aside form button select menu dialog fieldset input label option datalist".split())
+_NEVER = frozenset("head nav footer aside button select menu dialog fieldset input label option datalist".split())
 #: What an opening tag ends if it is open, up to the first of the fences.
 _ENDS = {
     "p": (frozenset(["p"]), _BLOCK - {"p"}), "li": (frozenset(["li", "p"]), frozenset("ul ol menu dir".split())),
@@ -44,38 +44,34 @@ REACH, SPREAD, STRICT = 2, 1.0, 0.25
 
 
 class _Element:
-    __slots__ = ("article", "out", "parent", "path", "tag", "weight")
+    __slots__ = ("article", "named", "out", "parent", "path", "tag", "weight")
 
-    def __init__(self, tag: str, parent: _Element | None, out: bool):
-        self.tag, self.parent, self.out, self.weight = tag, parent, out, 0
+    def __init__(self, tag: str, parent: _Element | None, out: bool, named: bool = False):
+        self.tag, self.parent, self.out, self.named, self.weight = tag, parent, out, named, 0
         self.path = f"{parent.path}/{tag}" if parent else tag
         self.article = (parent.article if parent else None) or (self if tag in ("article", "main") and not out else None)
 
 
-def _dropped(tag: str, attributes: str, parent: _Element) -> bool:
-    """Whether an element is a menu, header, footer, sidebar, notice, advert, form or comment by what it says of itself."""
+def _dropped(tag: str, attributes: str, parent: _Element) -> tuple[bool, bool]:
+    """Whether an element is a menu, header, footer or sidebar by its tag, role or style, and whether its name says notice, advert, form, comment or the like."""
     if parent.out or tag in _NEVER:
-        return True
+        return True, False
     if tag == "header" and parent.article is None:
-        return True
+        return True, False
     if not attributes or tag in ("html", "body"):
-        return False
+        return False, tag == "form"
     names = ""
     for m in _ATTR.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "")
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return True, False
         if name == "role" and value.lower() in _ROLES:
-            return True
+            return True, False
         if name in ("class", "id"):
             names += " " + value
-    if not names:
-        return False
-    if _COMMENTS.search(names):
-        return True
     if tag in ("article", "main"):
-        return False
-    return bool(_NAMED.search(names)) or parent.article is None and bool(_HEAD.search(names))
+        return False, False
+    return False, tag == "form" or bool(_COMMENTS.search(names) or _NAMED.search(names)) or parent.article is None and bool(_HEAD.search(names))
 
 
 def _nodes(page: str) -> list[tuple[int, _Element, str]]:
@@ -124,10 +120,32 @@ def _nodes(page: str) -> list[tuple[int, _Element, str]]:
         if tag == "body" and any(e.tag == "body" for e in stack):
             continue
         if tag != "html":
-            stack.append(_Element(tag, stack[-1], _dropped(tag, m[4] or m[7] or "", stack[-1])))
+            stack.append(_Element(tag, stack[-1], *_dropped(tag, m[4] or m[7] or "", stack[-1])))
     if at < len(page):
         pending(page[at:])
-    return found
+    return _unnamed(found)
+
+
+def _unnamed(found: list[tuple[int, _Element, str]]) -> list[tuple[int, _Element, str]]:
+    """The nodes that no name drops. A name drops no element that holds most of the page's text, unless an article or main element beside it has text."""
+    total, most = 0, 0  # of all, and in article or main elements
+    within: dict[_Element, list[int]] = {}
+    above: dict[_Element, list[_Element]] = {}
+    for _, e, t in found:
+        if e not in above:
+            up, x = [], e
+            while x is not None:
+                if x.named:
+                    up.append(x)
+                x = x.parent
+            above[e] = up
+        n = len(t.strip())
+        total, most = total + n, most + (n if e.article else 0)
+        for x in above[e]:
+            w = within.setdefault(x, [0, 0])
+            w[0], w[1] = w[0] + n, w[1] + (n if e.article else 0)
+    drops = {x for x, (n, inside) in within.items() if 2 * n <= total or not x.article and inside < most}
+    return [f for f in found if not any(x in drops for x in above[f[1]])]
 
 
 def _close(stack: list[_Element], tags: frozenset, fences: frozenset) -> None:
@@ -167,7 +185,8 @@ def _scores(nodes: list[tuple[_Element, str]]) -> list[float]:
 def main_text(page: str | None) -> str:
     """The main text of a page, one block a line; '' if there is none.
 
-    Elements that name themselves menus, adverts, comments and so on never count. Of the other text nodes, those whose
+    Elements that are menus, footers and so on never count, nor do those whose names say adverts, comments and so on, except
+    article and main elements and one that holds most of the text. Of the other text nodes, those whose
     tag path scores over the threshold are content. If most of it lies in article or main elements, those that hold any
     of it are the main text, whole; else it is every block beside a content node in the same container.
     """

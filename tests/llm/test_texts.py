@@ -196,6 +196,12 @@ def test_main_text(box):
     assert extract.main_text(page) == WANT
 
 
+@pytest.mark.parametrize("box", ['article class="post category-reviews hentry"', 'div class="entry tag-discussion"', 'form action="/"', 'main id="comment-status"'])
+def test_names_do_not_drop_the_article(box):
+    page = PAGE.replace("{body}", f"<{box}>{INNER}<div class='share'>Share, now.</div></{box.split()[0]}>")
+    assert extract.main_text(page) == WANT
+
+
 @pytest.mark.parametrize("lengths", [[3] * 12, [40] + [2] * 3, [3] * 30])
 def test_sibling_articles(lengths):
     texts = [f"Part {i}, with some words; and then more of them. " * n for i, n in enumerate(lengths)]
