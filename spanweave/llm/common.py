@@ -66,8 +66,11 @@ def drop_written() -> None:
 atexit.register(drop_written)
 
 
-def small_batches(spark: SparkSession, rows: int = 1024, megabytes: int = 16) -> None:
-    """Bound what an Arrow batch holds, so that long texts don't fill a Python worker; and see that workers have this code."""
+def small_batches(spark: SparkSession, rows: int = 512, megabytes: int = 8) -> None:
+    """Bound what an Arrow batch holds, so that long texts don't fill a Python worker; and see that workers have this code.
+
+    Spark reads the bounds when a plan runs, so all operators use the same ones.
+    """
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))

@@ -15,8 +15,6 @@ from .common import small, small_batches, table, written
 B, A, Q = 1.001, 20.0, (1 << 16) - 2
 #: Standard errors by which an estimate may lie under the threshold before a pair is let go.
 SLACK = 5.0
-#: Bucket ends with which a text is compared first, those with which it shares most buckets; others follow where still needed.
-FIRST = 6
 #: Ids that are sent to all executors at most (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 _POLY, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -183,23 +181,40 @@ def _estimated(rule: Rule):
 
 
 def _verified(rule: Rule):
+    """(a, b, linked) of pairs from their whole texts; pairs with one ``b`` come together where a sorted join made them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
-        for b in batches:
-            keep, common = [], []
-            for k, (x, tx, ty) in enumerate(zip(*(b.column(c).to_pylist() for c in ("a", "ta", "tb")), strict=True)):
-                if x != last[0]:
-                    last = (x, shingles(tx, rule.size))
-                one, two = last[1], shingles(ty, rule.size)
+        for batch in batches:
+            linked = []
+            for b, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("b", "ta", "tb")), strict=True):
+                if b != last[0]:
+                    last = (b, shingles(tb, rule.size))
+                one, two = shingles(ta, rule.size), last[1]
                 both = len(np.intersect1d(one, two, assume_unique=True))
                 union = len(one) + len(two) - both
-                common.append(both / union if union else 0.0)
-                if union and rule.den * both >= rule.num * union:
-                    keep.append(k)
-            at = pa.array(range(b.num_rows))
-            linked = np.zeros(b.num_rows, bool)
-            linked[keep] = True
-            yield pa.RecordBatch.from_arrays([b.column("a").take(at), b.column("b").take(at), pa.array(linked), pa.array(common, pa.float64())], ["a", "b", "linked", "likeness"])
+                linked.append(union > 0 and rule.den * both >= rule.num * union)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+
+    return run
+
+
+def _differing(rule: Rule):
+    """(a, b, na, nb, m, d): the m shingles that only one of the texts a and b has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
+        for batch in batches:
+            na, nb, d = [], [], []
+            for b, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("b", "ta", "tb")), strict=True):
+                if b != last[0]:
+                    last = (b, shingles(tb, rule.size))
+                one = shingles(ta, rule.size)
+                na.append(len(one))
+                nb.append(len(last[1]))
+                d.append(np.setxor1d(one, last[1], assume_unique=True).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), pa.array(na, pa.int64()), pa.array(nb, pa.int64()), pa.array([len(x) for x in d], pa.int64()), pa.array(d, pa.list_(pa.int64()))], ["a", "b", "na", "nb", "m", "d"])
 
     return run
 
@@ -232,110 +247,114 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _guess(pairs: DataFrame, profiles: DataFrame, rule: Rule) -> DataFrame:
     """(a, b, guess) of candidate pairs whose sizes and likelihood estimate don't rule a link out."""
-    small = f"least(na, nb) * {rule.den} >= greatest(na, nb) * {rule.num}"
+    near = f"least(na, nb) * {rule.den} >= greatest(na, nb) * {rule.num}"
     r = profiles.select("id", "n", "registers")
     two = pairs.join(r.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra")), "a")
-    two = two.join(r.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb")), "b").filter(small)
+    two = two.join(r.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb")), "b").filter(near)
     return written(two.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_estimated(rule), "a long, b long, guess double"), "near-pairs")
 
 
-def _verify(near: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b, linked, likeness) of pairs from their whole texts."""
-    small_batches(near.sparkSession, 512)
-    named = written(near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct(), "near-named")
-    few = named.count() <= BROADCAST_IDS
-    of = written(texts.join(F.broadcast(named) if few else named, "id", "left_semi").select("id", "text"), "near-texts")
-    full = near.join(of.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(of.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return written(full.select("a", "b", "ta", "tb").mapInArrow(_verified(rule), "a long, b long, linked boolean, likeness double"), "near-links")
-
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, ta, tb) of pairs of ids. Only texts that are named are moved; ids are counted before they are broadcast."""
+    named = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "near-named")
+    of = written(texts.join(small(named, BROADCAST_IDS), "id", "left_semi").select("id", "text"), "near-texts")
+    full = pairs.join(of.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(of.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    return full.select("a", "b", "ta", "tb")
 
-def _check(pairs: DataFrame, profiles: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    return _verify(_guess(pairs, profiles, rule).select("a", "b"), texts, rule)
 
+def _links(pairs: DataFrame, profiles: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) that are linked: likelihood estimates let go what is clearly below, whole sets decide on the rest."""
+    near = _guess(pairs, profiles, rule).select("a", "b")
+    return written(_with_texts(near, texts).mapInArrow(_verified(rule), "a long, b long, linked boolean").filter("linked").select("a", "b"), "near-links")
 
-def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose components differ."""
-    c = lambda k: found.select(F.col("id").alias(k), F.col("component").alias(f"c{k}"))
-    both = pairs.join(c("a"), "a", "left").join(c("b"), "b", "left")
-    return both.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
 
+def _rest_links(open_rows: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """The links (a, b) between members of one group that are in different components; ``open_rows``: (v, a, c), a member of group v in component c.
 
-def _mixed(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """Members (key, id, n, low, high) of buckets that hold several components, with their component c and those of low and high."""
-    known = shared.join(found, "id", "left").select("key", "id", "n", "low", "high", F.coalesce("component", "id").alias("c"))
-    mixed = known.groupBy("key").agg(
-        F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.when(F.col("id") == F.col("low"), F.col("c"))).alias("c_low"), F.min(F.when(F.col("id") == F.col("high"), F.col("c"))).alias("c_high"))
-    return written(known.join(mixed.filter("c0 < c1").select("key", "c_low", "c_high"), "key"), "near-open")
+    Exact, and without the pairs of a group. With D(x) what differs between x and the group's reference text v, two
+    members differ in ``|D(a)| + |D(b)| - 2 common(a, b)`` shingles, so with W(x) = (den + num) |D(x)| - (den - num) |x| they
+    are linked if and only if ``2 (den + num) common(a, b) >= W(a) + W(b)``. A member with W at most (den - num) |v| is
+    linked with v. Any other one (an outer one) needs a partner with which it has differences in common, of which v knows
+    nothing: those that only one member has are left out, and the rarest first, of the member with the lesser W as many
+    are looked up as the least number in common demands (a prefix), by as many of the outer one. What
+    each place in both lists still allows in common is part of the join, then whole lists decide.
+    """
+    whole, off = rule.den + rule.num, rule.den - rule.num
+    named = open_rows.filter("a <> v").select("a", F.col("v").alias("b")).distinct()
+    made = written(_with_texts(named, texts).mapInArrow(_differing(rule), "a long, b long, na long, nb long, m long, d array<long>"), "near-differences")
+    weighed = made.withColumn("w", whole * F.col("m") - off * F.col("na")).withColumn("outer", F.col("w") > off * F.col("nb"))
+    direct = weighed.filter("not outer").select("a", "b")
+
+    each = made.select(F.col("b").alias("v"), "a", F.explode("d").alias("e"))
+    common = each.groupBy("v", "e").agg(F.count("*").alias("f")).filter("f > 1")
+    lists = each.join(common, ["v", "e"]).groupBy("v", "a").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("d"))
+    rows = weighed.select(F.col("b").alias("v"), "a", F.col("na").alias("n"), F.col("nb").alias("nv"), "w", "outer")
+    rows = written(rows.join(lists, ["v", "a"]).join(open_rows.select("v", "a", "c").distinct(), ["v", "a"]).withColumn("m", F.size("d")), "near-lists")
+
+    def prefix(least: str, names: str) -> DataFrame:
+        some = rows.withColumn("p", F.expr(f"m - greatest(1, cast(ceil({least}) as bigint)) + 1")).filter("p > 0")
+        return some.select("v", "a", "n", "w", "m", "c", F.posexplode(F.slice("d", F.lit(1), F.col("p").cast("int"))).alias("at", "x")).select("v", F.col("x.e").alias("e"), *(F.col(k).alias(f"{k}{names}") for k in ("a", "n", "w", "m", "c", "at")))
+
+    low = prefix(f"(w + greatest(w, {off} * nv + 1)) / {2 * whole}", "1")
+    high = prefix(f"(w - {off} * floor(n * {rule.den} / {rule.num})) / {whole}", "2").join(rows.filter("outer").select("v", F.col("a").alias("a2")), ["v", "a2"], "left_semi")
+    fits = F.expr(f"c1 <> c2 and (w1 < w2 or w1 = w2 and a1 < a2) and least(n1, n2) * {rule.den} >= greatest(n1, n2) * {rule.num} and {2 * whole} * least(m1 - at1, m2 - at2) >= w1 + w2")
+    met = written(low.join(high, ["v", "e"]).filter(fits).select("v", "a1", "a2").distinct(), "near-met")
+    side = lambda k: rows.select("v", F.col("a").alias(f"a{k}"), F.col("w").alias(f"w{k}"), F.col("d").alias(f"d{k}"))
+    decided = met.join(side(1), ["v", "a1"]).join(side(2), ["v", "a2"]).filter(F.expr(f"{2 * whole} * size(array_intersect(d1, d2)) >= w1 + w2"))
+    return written(direct.unionByName(decided.select(F.col("a1").alias("a"), F.col("a2").alias("b"))), "near-rest")
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     1. Texts with one and the same shingle set are a class (a 128-bit sum of its hashes); its least id stands for it.
-    2. Classes get SetSketch registers; bands of registers are buckets. The least and the greatest id of a bucket are its ends;
-       each class is paired with the FIRST ends with which it shares most buckets. Pairs whose sizes allow the similarity are estimated by likelihood; what isn't clearly below is
-       compared on whole sets. Links make components.
-    3. In buckets that still hold several components, members are paired with the ends that are in another component,
-       and checked as before.
-    4. Where a bucket holds several components even then, each member outside the one that most of the bucket has is
-       paired with the members of other components, except where the measured distances to the bucket's least id rule a
-       link out by the triangle inequality. Those pairs are checked too, and components are made of all links.
-    So a link between candidates is lost only where the estimate lies SLACK standard errors under the threshold, and a group of near copies is never spread out into all its pairs.
+    2. Classes get SetSketch registers; bands of registers are buckets. The centre of a bucket is the member whose buckets
+       are the largest, the least id of equal ones. Each class is paired with the centres of its buckets. Pairs whose sizes allow
+       the similarity are estimated by likelihood; what isn't clearly below is compared on whole sets. Links make components.
+    3. Where members of a bucket beside its centre are still in several components, the links between them are found
+       from what each differs in from one reference text, the bucket's centre or the largest one that is linked with it
+       (:func:`_rest_links`), exactly.
+    So a candidate is let go without an exact comparison only beside a centre from which its estimate lies SLACK standard
+    errors under the threshold, and a group of near copies is never spread out into its pairs.
 
     Null or empty text, or only white space: no shingles, component of its own. Null ids get null components and are
     kept. Rows with equal ids must have one text; they are one document here. An empty table gives no rows. Other
     columns are ignored.
     """
-    spark = docs.sparkSession
-    small_batches(spark, 512)
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     made = written(texts.mapInArrow(_profiles(rule), "id long, n long, s1 long, s2 long, registers binary, keys array<long>"), "near-profiles")
     same = ["n", "s1", "s2"]
-    members = made.filter("n > 0 and id is not null").select("id", *same)
-    heads = members.groupBy(*same).agg(F.min("id").alias("head"))
-    heads = written(heads, "near-heads")
-    profiles = made.join(heads.select(F.col("head").alias("id"), F.col("n").alias("_n")).distinct(), "id", "left_semi")
-    small_batches(spark, 4096)
-
-    rows = profiles.select("id", "n", F.posexplode("keys").alias("band", "key")).select("key", "id", "n")
-    buckets = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
-    buckets = written(buckets, "near-buckets")
+    heads = written(made.filter("n > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("head")), "near-heads")
+    profiles = made.join(heads.select(F.col("head").alias("id")), "id", "left_semi")
+    twice = written(made.filter("id is not null").groupBy("id").count().filter("count > 1").select("id"), "near-twice")
+    if twice.limit(1).count():
+        profiles, texts = (d.join(small(twice), "id", "left_anti").unionByName(d.join(small(twice), "id", "left_semi").dropDuplicates(["id"])) for d in (profiles, texts))
+
+    rows = profiles.select("id", F.explode("keys").alias("key"))
+    buckets = rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
     shared = written(rows.join(buckets, "key"), "near-shared")  # members of buckets with two ids or more
-    ends = shared.select(F.col("low").alias("a"), F.col("id").alias("b"), F.col("id").alias("own")).unionByName(shared.select(F.col("id").alias("a"), F.col("high").alias("b"), F.col("id").alias("own")))
-    ends = ends.filter("a < b").groupBy("own", "a", "b").agg(F.count("*").alias("m"))
-    first = ends.withColumn("nth", F.row_number().over(W.partitionBy("own").orderBy(F.col("m").desc(), "a", "b"))).filter(F.col("nth") <= FIRST)
-    lead = written(first.select("a", "b").distinct(), "near-first")
-    links = _check(lead, profiles, texts, rule)
-    found = components(links.filter("linked"))
-    open_rows, star = _mixed(shared, found), lead
-    wide = open_rows.select(F.col("low").alias("a"), F.col("id").alias("b"), "c", F.col("c_low").alias("d")).unionByName(open_rows.select(F.col("id").alias("a"), F.col("high").alias("b"), "c", F.col("c_high").alias("d")))
-    wide = written(wide.filter("a < b and c <> d").select("a", "b").distinct().join(star, ["a", "b"], "left_anti"), "near-star")
-    if wide.limit(1).count():
-        links = written(links.unionByName(_check(wide, profiles, texts, rule)), "near-links")
-        star = star.unionByName(wide)
-        found = components(links.filter("linked"))
-        open_rows = _mixed(shared, found)
-
-    sizes = open_rows.groupBy("key", "c").agg(F.countDistinct("id").alias("m"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("m", "c")).alias("x")).select("key", F.col("x.c").alias("main"))
-    far = links.select(F.col("a").alias("low"), F.col("b").alias("id"), (1 - F.col("likeness")).alias("d"))
-    placed = open_rows.join(far, ["low", "id"], "left").withColumn("d", F.when(F.col("id") == F.col("low"), 0.0).otherwise(F.col("d")))
-    outside = placed.join(main, "key").filter("c <> main")
-    one = outside.select("key", F.col("id").alias("i"), F.col("n").alias("ni"), F.col("c").alias("ci"), F.col("d").alias("di"))
-    two = placed.select("key", F.col("id").alias("j"), F.col("n").alias("nj"), F.col("c").alias("cj"), F.col("d").alias("dj"))
-    reach = 1 - rule.num / rule.den + 1e-9
-    rest = one.join(two, "key").filter(f"ci <> cj and least(ni, nj) * {rule.den} >= greatest(ni, nj) * {rule.num} and (di is null or dj is null or abs(di - dj) <= {reach})")
-    rest = rest.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    rest = written(rest, "near-rest")
-    if rest.limit(1).count():
-        # the likely ones first: most of what they join needs no further check
-        near, linked = _guess(rest, profiles, rule), links.filter("linked").select("a", "b")
-        least = rule.num / rule.den
-        for low, high in ((least, 2.0), (least - 0.03, least), (0.0, least - 0.03)):
-            some = written(_apart(near.filter((F.col("guess") >= low) & (F.col("guess") < high)).select("a", "b"), found), "near-some")
-            if some.limit(1).count():
-                linked = linked.unionByName(_verify(some, texts, rule).filter("linked").select("a", "b"))
-                found = components(linked)
+    mass = shared.groupBy("id").agg(F.sum("m").alias("mass"))
+    centres = shared.join(mass, "id").groupBy("key").agg(F.max(F.struct("mass", (-F.col("id")).alias("x"))).alias("top"))
+    centres = written(centres.select("key", (-F.col("top.x")).alias("centre"), F.col("top.mass").alias("mass")), "near-centres")
+    of = written(shared.select("key", "id").join(centres, "key").filter("id <> centre"), "near-members")
+    star = written(of.select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct(), "near-star")
+    links = _links(star, profiles, texts, rule)
+    found = components(links)
+
+    known = of.join(found, "id", "left").withColumn("c", F.coalesce("component", "id"))
+    mixed = known.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("key")
+    higher = links.join(centres.groupBy(F.col("centre").alias("b")).agg(F.max("mass").alias("mass")), "b").groupBy(F.col("a").alias("centre")).agg(F.max_by("b", F.struct("mass", -F.col("b"))).alias("above"))
+    open_rows = known.join(mixed, "key").join(higher, "centre", "left").select(F.coalesce("above", "centre").alias("v"), F.col("id").alias("a"), "c").distinct()
+    open_rows = written(open_rows, "near-open")
+    if open_rows.limit(1).count():
+        c = lambda k: found.select(F.col("id").alias(k), F.col("component").alias(f"c{k}"))
+        rest = _rest_links(open_rows, texts, rule).join(c("a"), "a", "left").join(c("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        more = components(rest.filter("a <> b").distinct())
+        label = more.withColumnsRenamed({"id": "old", "component": "new"})
+        # components that were joined, and ids that were alone until now
+        joined = found.join(label, found["component"] == label["old"], "left").select("id", F.coalesce("new", "component").alias("component"))
+        found = joined.unionByName(more.join(found.select("id"), "id", "left_anti"))
 
     named = heads.join(found, heads["head"] == found["id"], "left").select(*same, F.coalesce("component", "head").alias("component"))
     out = made.select("id", *same).join(named, same, "left").withColumn("component", F.coalesce("component", "id"))
@@ -343,11 +362,20 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
 
 
 def keep_first(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """``docs``, all columns, without near-duplicates: of each component the row with the least id stays, once; rows with null ids stay."""
-    gone = near_duplicates(docs, rule).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.filter("doc_id is not null").join(written(gone, "near-gone"), F.col("doc_id") == F.col("_gone"), "left_anti")
-    once = left.withColumn("_nth", F.row_number().over(W.partitionBy("doc_id").orderBy("doc_id"))).filter("_nth = 1").drop("_nth")
-    return once.unionByName(docs.filter("doc_id is null"))
+    """``docs``, all columns, without near-duplicates: of each component the row with the least id stays, once; rows with null ids stay.
+
+    Texts are moved only of ids that come more than once, or if there are more than BROADCAST_IDS ids to drop.
+    """
+    own = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
+    rows, key = docs.withColumnsRenamed(own), F.col(own["doc_id"]).cast("long")
+    ids = docs.select(F.col("doc_id").cast("long").alias("id")).filter("id is not null")
+    again = small(written(ids.groupBy("id").count().filter("count > 1").select("id"), "near-again"), BROADCAST_IDS)
+    gone = near_duplicates(docs, rule).filter("not kept").select(F.col("doc_id").alias("id")).distinct()
+    rows = rows.withColumn("id", key)
+    left = rows.join(small(written(gone, "near-gone"), BROADCAST_IDS), "id", "left_anti")
+    once = left.join(again, "id", "left_semi").withColumn("_nth", F.row_number().over(W.partitionBy("id").orderBy("id"))).filter("_nth = 1").drop("_nth")
+    out = left.join(again, "id", "left_anti").unionByName(once)
+    return out.select(*(F.col(v).alias(k) for k, v in own.items()))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,7 +112,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_
     Null or empty text: the end id alone. Null and repeated ids are documents of their own. The result doesn't depend on
     the partitioning of ``docs``. An empty table gives no rows. Other columns are ignored.
     """
-    small_batches(docs.sparkSession, 512)
+    small_batches(docs.sparkSession)
     bins = max(1, -(-docs.count() // BIN_DOCS))
     rows = docs.select(F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(bins)).cast("long").alias("bin"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     dealt = rows.repartition("bin").sortWithinPartitions("bin", "doc_id", F.length("text"), "text")
