@@ -292,3 +292,77 @@ def test_grams_in_blocks(monkeypatch):
     whole = sorted(set(toxicity.grams(text).tolist()))
     monkeypatch.setattr(toxicity, "BLOCK", 64)
     assert sorted(set(toxicity.grams(text).tolist())) == whole
+
+
+PROSE = [f"Paragraph {k} tells, at some length, what there is to say; it goes on for a while, with commas, and then it ends. And so on." for k in range(5)]
+NEUTRAL = """<html><body><div class="a1"><ul class="x"><li><a href="/">Home</a></li><li><a href="/n">News</a></li><li><a href="/c">Contact us</a></li></ul></div>{box}
+<div class="c3"><div class="d"><p>Great, thanks.</p></div><div class="d"><p>I agree.</p></div><div class="d"><p>No.</p></div></div><div class="e">Copyright 2020 Some Firm</div></body></html>"""
+
+
+def test_neutral_pages_by_path_ratios():
+    article = "<h1>A title</h1>" + "".join(f"<p>{x}</p>" for x in PROSE[:3]) + "<ul><li>one</li><li>two</li></ul>" + "".join(f"<p>{x}</p>" for x in PROSE[3:])
+    want = "\n".join(["A title", *PROSE[:3], "one", "two", *PROSE[3:]])
+    assert extract.main_text(NEUTRAL.replace("{box}", f'<div class="b2">{article}</div>')) == want
+    flat = NEUTRAL.replace("{box}", "".join(f"<p>{x}</p>" for x in PROSE))
+    assert extract.main_text(flat).startswith("\n".join(PROSE)) and "Home" not in extract.main_text(flat)
+
+
+def test_names_inside_an_article_are_hints_only():
+    inside = f"<p>{PROSE[0]}</p><p class='notice'>{PROSE[1]}</p><div class='social-history'>{PROSE[2]}</div><div class='ad'>Buy, now!</div><div class='share'>Share it.</div>"
+    assert extract.main_text(f"<article><h1>T</h1>{inside}</article><div class='comments'><p>{PROSE[3]}</p></div>") == "\n".join(["T", *PROSE[:3]])
+
+
+def test_scores_decide(spark, monkeypatch):
+    pages = [r["html"] for r in table(spark, SF, "pages").collect()]
+    before = [extract.main_text(x) for x in pages]
+    monkeypatch.setattr(extract, "_scores", lambda page, units: {e.path: 1.0 for e, _, _ in units})
+    assert sum(extract.main_text(x) != y for x, y in zip(pages, before)) > len(pages) / 2
+
+
+def plain_scores(page, units):
+    """The scores pair by pair of units, from whole paths."""
+    def way(p):
+        out = []
+        while p > 0:
+            out.append(p)
+            p = page.above[p]
+        return out[::-1]
+
+    def far(a, b):
+        a, b = way(a), way(b)
+        same = 0
+        while same < min(len(a), len(b)) and a[same] == b[same]:
+            same += 1
+        return len(a) + len(b) - 2 * same
+
+    of = {}
+    for e, n, m in units:
+        of.setdefault(e.path, []).append((n, m))
+    mean = {p: tuple(sum(x[k] for x in v) / len(v) for k in (0, 1)) for p, v in of.items()}
+    got = {}
+    for i, (e, _, _) in enumerate(units):
+        w = [np.exp(-((i - j) ** 2) / 2 - far(e.path, u[0].path)) * (abs(i - j) <= extract.REACH and far(e.path, u[0].path) <= extract.STEPS) for j, u in enumerate(units)]
+        x, y = (sum(a * mean[u[0].path][k] for a, u in zip(w, units)) / sum(w) for k in (0, 1))
+        got.setdefault(e.path, []).append((x * e.hint, y))
+    return {p: sum(x for x, _ in v) / len(v) * (1 + sum(y for _, y in v) / len(v)) for p, v in got.items()}
+
+
+def test_scores_match_plain_version(spark, monkeypatch):
+    seen = []
+    inner = extract._scores
+    monkeypatch.setattr(extract, "_scores", lambda page, units: seen.append((plain_scores(page, units), inner(page, units))) or seen[-1][1])
+    for r in table(spark, SF, "pages").limit(25).collect():
+        extract.main_text(r["html"])
+    extract.main_text(NEUTRAL.replace("{box}", f"<section><div><blockquote><p>{PROSE[0]}</p></blockquote></div></section>"))
+    assert len(seen) >= 20
+    for want, got in seen:
+        assert want.keys() == got.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+@pytest.mark.parametrize("page", ["<div>" * 60_000 + "x" + "</div>" * 60_000, "<b>" * 60_000 + "x", "<p><b>x" * 20_000, "<i><div>" * 20_000 + "</i>" * 20_000])
+def test_deep_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    extract.main_text(page)
+    assert time.process_time() - began < 10
