@@ -345,7 +345,8 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
     known = of.join(found, "id", "left").withColumn("c", F.coalesce("component", "id"))
     mixed = known.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("key")
     higher = links.join(centres.groupBy(F.col("centre").alias("b")).agg(F.max("mass").alias("mass")), "b").groupBy(F.col("a").alias("centre")).agg(F.max_by("b", F.struct("mass", -F.col("b"))).alias("above"))
-    open_rows = known.join(mixed, "key").join(higher, "centre", "left").select(F.coalesce("above", "centre").alias("v"), F.col("id").alias("a"), "c").distinct()
+    reference = centres.join(mixed, "key").join(higher, "centre", "left").select("key", F.coalesce("above", "centre").alias("v"))
+    open_rows = known.join(written(reference, "near-references"), "key").select("v", F.col("id").alias("a"), "c").distinct()
     open_rows = written(open_rows, "near-open")
     if open_rows.limit(1).count():
         c = lambda k: found.select(F.col("id").alias(k), F.col("component").alias(f"c{k}"))

@@ -2,30 +2,45 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from .common import NON_SPACE, SPACE, small, table, written
 
 SYMBOLS = "#*$%&|<>"
-#: A language's source with fewer rows is judged with the rest of its language, and that with all such rows.
+#: A language's source with fewer rows is judged with the rest of its language, and that with all such rows; with fewer even then, by the base rules alone.
 MIN_ROWS = 60
-#: Words of prior weight that draw the rates of short texts to the centre.
-PRIOR = 30
+#: Words of prior weight that draw the rates of short texts to those of their pool.
+PRIOR = 60
 #: Features are whole thousandths, so that sums are exact in any order.
 UNIT = 1000
-#: Standard deviations below which a feature isn't taken to be narrower, in natural-log units.
-FLOOR = (0.10, 0.35, 0.35, 0.35)
-#: The share of rows with the smallest distances that carries the estimate, and the quantile of chi square (4 degrees) there.
-CORE, CHI_CORE = (3, 4), 5.3853
-STEPS = 3
-#: Squared robust distance over which a document goes.
-CUT = 30.0
 P = 4
+#: What a text's features resolve at best, in natural-log units: the standard deviation that is added to each feature, so that a pool of one and the same text has a scatter.
+FLOOR = 0.005
+#: The share of a pool's rows that carries its estimate, and the probability beyond which a chi-square distance is an outlier's.
+CORE, OUTLIER = (3, 4), 1e-5
+#: A concentration step goes on if the logarithm of the determinant falls by more.
+STILL = 1e-6
+#: Bins of ln(1 + squared distance) per unit.
+BINS = 200
 _N = "_q"
 
 
+def chi_square(p: float) -> float:
+    """The ``p`` quantile of chi square with P = 4 degrees of freedom."""
+    low, high = 0.0, 1000.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if 1 - math.exp(-mid / 2) * (1 + mid / 2) < p else (low, mid)
+    return low
+
+
+CHI_CORE, CUT = chi_square(CORE[0] / CORE[1]), chi_square(1 - OUTLIER)
+
+
 def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, and ``_lines`` (lines with a word).
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, and ``_distinct`` (different words), ``_marks`` (neither letter nor digit nor space) and ``_upper`` (capitals).
 
     All from the whole text, by array functions in the row: nothing is exploded or shuffled. Null text counts as empty.
     Repeated five-word windows are found by 64-bit hashes of their words.
@@ -38,7 +53,9 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_words": F.size("_w").cast("long"),
         "word_chars": F.length(F.translate("_t", " \t\n\x0b\x0c\r", "")).cast("long"),
         "n_symbols": (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long"),
-        "_lines": F.size("_l").cast("long"),
+        "_distinct": F.size(F.array_distinct("_w")).cast("long"),
+        "_marks": F.length(F.regexp_replace("_t", r"[\p{L}\p{M}\p{N}\x20\x09-\x0D]+", "")).cast("long"),
+        "_upper": F.length(F.regexp_replace("_t", r"[^\p{Lu}]+", "")).cast("long"),
         "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
     }).drop("_t", "_l")
     gram = lambda i: F.xxhash64(*(F.get("_w", i + k) for k in range(5)))
@@ -55,25 +72,31 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _pooled(rows: DataFrame) -> DataFrame:
-    """(lang, source) of ``rows`` with the pool that judges it and the pool's words and their characters."""
-    n = rows.groupBy("lang", "source").agg(F.count("*").alias("n"), F.sum("n_words").alias("words"), F.sum("word_chars").alias("chars"))
-    enough = F.col("n") >= MIN_ROWS
-    first = n.select("*", F.when(enough, F.concat_ws("\x1f", "lang", "source")).alias("_own"))
+    """(lang, source) of ``rows`` with the pool that judges it, null without enough rows, and the pool's rates per word and the power of a text's words with which its different words grow."""
+    x, y = (F.round(100 * F.log(F.col(c))).cast("long") for c in ("n_words", "_distinct"))
+    sums = {"n": F.lit(1), "words": F.col("n_words"), "chars": F.col("word_chars"), "marks": F.col("_marks"), "upper": F.col("_upper"), "sx": x, "sy": y, "sxx": x * x, "sxy": x * y}
+    n = rows.groupBy("lang", "source").agg(*(F.sum(c).alias(k) for k, c in sums.items()))
+    first = n.select("*", F.when(F.col("n") >= MIN_ROWS, F.concat_ws("\x1f", "lang", "source")).alias("_own"))
     rest = W.partitionBy("lang", F.col("_own").isNull())
     second = first.select("*", F.when(F.sum("n").over(rest) >= MIN_ROWS, F.col("lang")).alias("_lang"))
-    pool = F.coalesce(F.concat(F.lit("s\x1f"), "_own"), F.concat(F.lit("l\x1f"), "_lang"), F.lit("all"))
-    named = second.select("lang", "source", "words", "chars", pool.alias("pool"))
-    by_pool = named.groupBy("pool").agg((F.sum("chars") / F.greatest(F.sum("words"), F.lit(1))).alias("chars_per_word"))
-    return named.select("lang", "source", "pool").join(by_pool, "pool")
+    named = second.select("lang", "source", *sums, F.coalesce(F.concat(F.lit("s\x1f"), "_own"), F.concat(F.lit("l\x1f"), "_lang"), F.lit("all")).alias("pool"))
+    whole = named.groupBy("pool").agg(*(F.sum(k).alias(k) for k in sums)).filter(F.col("n") >= MIN_ROWS)
+    mean = lambda k: F.col(k) / F.col("n")
+    spread = mean("sxx") - mean("sx") * mean("sx")
+    power = F.when(spread > 0, (mean("sxy") - mean("sx") * mean("sy")) / spread).otherwise(F.lit(0.0))
+    whole = whole.select("pool", *((F.col(k) / F.col("words")).alias(f"r_{k}") for k in ("chars", "marks", "upper")), power.alias("power"))
+    return named.select("lang", "source", "pool").join(whole, "pool")
 
 
 def _features() -> dict[str, Column]:
-    words, unit = F.col("n_words") + PRIOR, lambda x: F.round(UNIT * F.log(x)).cast("long")
+    """Logarithms of characters, marks and capitals per word, and of different words beside what a text of its length has in its pool."""
+    unit = lambda x: F.round(UNIT * x).cast("long")
+    rate = lambda c, r, more: unit(F.log((F.col(c) + PRIOR * F.col(r) + more) / (F.col("n_words") + PRIOR)))
     return {
-        f"{_N}0": unit((F.col("word_chars") + PRIOR * F.col("chars_per_word") + 1) / words),
-        f"{_N}1": unit(0.05 + F.col("n_symbols") / words),
-        f"{_N}2": unit(0.05 + F.col("n_repeat_words") / words),
-        f"{_N}3": unit(0.05 + F.col("n_dup_lines") / (F.col("_lines") + 5)),
+        f"{_N}0": rate("word_chars", "r_chars", 0.0),
+        f"{_N}1": rate("_marks", "r_marks", 0.5),
+        f"{_N}2": rate("_upper", "r_upper", 0.5),
+        f"{_N}3": unit(F.log(F.col("_distinct")) - F.col("power") * F.log(F.col("n_words"))),
     }
 
 
@@ -89,43 +112,106 @@ def _distance() -> Column:
 
 
 def _bin(d2: Column) -> Column:
-    return F.floor(200 * F.log1p(d2)).cast("long")
+    return F.floor(BINS * F.log1p(d2)).cast("long")
 
 
-def _centre(rows: DataFrame) -> DataFrame:
-    """A start for each pool: the medians, and for each feature its floor as the scale."""
+def _factor(df: DataFrame, cov) -> DataFrame:
+    """``df`` with the Cholesky factor _c* of the matrix ``cov(i, j)``, the floor added, and the logarithm of its determinant."""
+    for i in range(P):
+        for j in range(i + 1):
+            v = F.greatest(cov(i, j), F.lit(0.0)) + (FLOOR * UNIT) ** 2 if i == j else cov(i, j)
+            for k in range(j):
+                v = v - F.col(f"_c{i}{k}") * F.col(f"_c{j}{k}")
+            df = df.withColumn(f"_c{i}{j}", F.sqrt(F.greatest(v, F.lit(1e-6))) if i == j else v / F.col(f"_c{j}{j}"))
+    return df.withColumn("det", sum((2 * F.log(F.col(f"_c{i}{i}")) for i in range(1, P)), 2 * F.log(F.col("_c00"))))
+
+
+_PARAMS = [*(f"_m{i}" for i in range(P)), *(f"_c{i}{j}" for i in range(P) for j in range(i + 1))]
+_PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
+
+
+def _middle(values: DataFrame, by: list[str], of: str) -> DataFrame:
+    """The least value of ``of`` (with counts n) that half of each group reaches."""
+    at = W.partitionBy(*by)
+    upto = values.withColumn("upto", F.sum("n").over(at.orderBy(of))).withColumn("all", F.sum("n").over(at))
+    return upto.filter("2 * upto >= `all`").groupBy(*by).agg(F.min(of).alias("mid"))
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Four deterministic starts (pool, start, _m*, _c*) for each pool: medians, and as scatter, in units of the median
+    absolute deviations, no correlation; products of hyperbolic tangents; products of directions; products of the half of
+    the rows that lies nearest."""
     long = rows.select("pool", F.explode(F.array(*(F.struct(F.lit(i).alias("f"), F.col(f"{_N}{i}").alias("q")) for i in range(P)))).alias("x")).groupBy("pool", "x.f", "x.q").agg(F.count("*").alias("n"))
-    of = W.partitionBy("pool", "f")
-    half = long.withColumn("upto", F.sum("n").over(of.orderBy("q"))).withColumn("all", F.sum("n").over(of)).filter("2 * upto >= `all`")
-    mid = half.groupBy("pool").agg(*(F.min(F.when(F.col("f") == i, F.col("q"))).cast("double").alias(f"_m{i}") for i in range(P)))
-    return mid.select("*", *(F.lit(FLOOR[i] * UNIT if i == j else 0.0).alias(f"_c{i}{j}") for i in range(P) for j in range(i + 1)), F.lit(1.0).alias("_scale"))
+    long = written(long, "rules-values")
+    mid = written(_middle(long, ["pool", "f"], "q"), "rules-medians")
+    off = long.join(mid, ["pool", "f"]).groupBy("pool", "f", F.abs(F.col("q") - F.col("mid")).alias("d")).agg(F.sum("n").alias("n"))
+    wide = _middle(off, ["pool", "f"], "d").withColumnRenamed("mid", "mad").join(mid, ["pool", "f"])
+    pick = lambda k, c: F.min(F.when(F.col("f") == k, F.col(c))).cast("double")
+    at = wide.groupBy("pool").agg(*(pick(i, "mid").alias(f"_m{i}") for i in range(P)), *(F.greatest(1.4826 * pick(i, "mad"), F.lit(FLOOR * UNIT)).alias(f"_s{i}") for i in range(P)))
+    at = written(at, "rules-scales")
+    z = rows.join(small(at), "pool").select("pool", *(((F.col(f"{_N}{i}") - F.col(f"_m{i}")) / F.col(f"_s{i}")).alias(f"z{i}") for i in range(P)))
+    z = z.withColumn("norm", sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, P)), F.col("z0") * F.col("z0")))
+    half = _middle(z.groupBy("pool", _bin(F.col("norm")).alias("b")).agg(F.count("*").alias("n")), ["pool"], "b").withColumnRenamed("mid", "edge")
+    z = z.join(small(written(half, "rules-halves")), "pool")
+    exact = lambda c: F.sum(F.round(1e6 * c).cast("long"))
+    product = lambda i, j: F.col(f"z{i}") * F.col(f"z{j}")
+    near = _bin(F.col("norm")) <= F.col("edge")
+    kinds = {
+        1: lambda i, j: exact(F.tanh(f"z{i}") * F.tanh(f"z{j}")) / F.count("*"),
+        2: lambda i, j: exact(F.when(F.col("norm") > 0, product(i, j) / F.col("norm")).otherwise(0.0)) / F.count("*"),
+        3: lambda i, j: exact(F.when(near, product(i, j)).otherwise(0.0)) / F.count_if(near),
+    }
+    sums = z.groupBy("pool").agg(*(f(i, j).alias(f"k{k}{i}{j}") for k, f in kinds.items() for i, j in _PAIRS))
+    one = lambda k, i, j: F.lit(1.0 if i == j else 0.0) if not k else F.col(f"k{k}{i}{j}") / 1e6 + (1e-3 if i == j else 0.0)
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("start"), *(one(k, i, j).alias(f"v{i}{j}") for i, j in _PAIRS)) for k in range(4)))).alias("x")
+    flat = sums.select("pool", each).select("pool", "x.*").join(at, "pool")
+    out = _factor(flat, lambda i, j: F.col(f"v{i}{j}") * F.col(f"_s{i}") * F.col(f"_s{j}"))
+    return out.select("pool", "start", *_PARAMS, F.lit(float("inf")).alias("det"))
 
 
-def _step(rows: DataFrame, params: DataFrame) -> DataFrame:
-    """One concentration step: mean and covariance of the rows of each pool that lie nearest by ``params``.
+def _edges(rows: DataFrame, params: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with the bin _b of their distance by each start of ``params``, and the last bin _edge of the core of each pool and start.
 
-    "Nearest" is read off counts of binned distances: no rows are sorted, and a hot pool is summed by many tasks, as
-    the tables with a row per pool are small enough to broadcast (a shuffled join otherwise).
+    "Nearest" is read off counts of bins: no rows are sorted, and a hot pool is summed by many tasks, as the tables with
+    a row per pool and start are small enough to broadcast (a shuffled join otherwise).
     """
     far = rows.join(small(params), "pool").withColumn("_b", _bin(_distance()))
-    bins = far.groupBy("pool", "_b").agg(F.count("*").alias("n"))
-    of = W.partitionBy("pool")
+    of = W.partitionBy("pool", "start")
+    bins = far.groupBy("pool", "start", "_b").agg(F.count("*").alias("n"))
     upto = bins.withColumn("upto", F.sum("n").over(of.orderBy("_b"))).withColumn("all", F.sum("n").over(of))
-    edge = upto.filter(f"{CORE[1]} * upto >= {CORE[0]} * `all`").groupBy("pool").agg(F.min("_b").alias("_edge"))
-    core = far.join(small(written(edge, "rules-edge")), "pool").filter("_b <= _edge")
-    sums = core.groupBy("pool").agg(
-        F.count("*").alias("n"), F.first("_edge").alias("_edge"), *(F.sum(f"{_N}{i}").alias(f"s{i}") for i in range(P)),
-        *(F.sum(F.col(f"{_N}{i}") * F.col(f"{_N}{j}")).alias(f"p{i}{j}") for i in range(P) for j in range(i + 1)))
-    out = sums.select("pool", "n", "_edge", *((F.col(f"s{i}") / F.col("n")).alias(f"_m{i}") for i in range(P)), *(f"p{i}{j}" for i in range(P) for j in range(i + 1)))
-    for i in range(P):
-        for j in range(i + 1):
-            v = F.col(f"p{i}{j}") / F.col("n") - F.col(f"_m{i}") * F.col(f"_m{j}")
-            v = F.greatest(v, F.lit(0.0)) + (FLOOR[i] * UNIT) ** 2 if i == j else v
-            for k in range(j):
-                v = v - F.col(f"_c{i}{k}") * F.col(f"_c{j}{k}")
-            out = out.withColumn(f"_c{i}{j}", F.sqrt(v) if i == j else v / F.col(f"_c{j}{j}"))
-    scale = F.greatest(F.lit(1.0), (F.exp(F.col("_edge") / 200.0) - 1) / CHI_CORE)
-    return out.select("pool", *(f"_m{i}" for i in range(P)), *(f"_c{i}{j}" for i in range(P) for j in range(i + 1)), scale.alias("_scale"))
+    return far, written(upto.filter(f"{CORE[1]} * upto >= {CORE[0]} * `all`").groupBy("pool", "start").agg(F.min("_b").alias("_edge")), "rules-edge")
+
+
+def _step(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """One concentration step: mean and covariance, with its determinant, of the rows of each pool and start that lie nearest by ``params``."""
+    far, edge = _edges(rows, params)
+    core = far.join(small(edge), ["pool", "start"]).filter("_b <= _edge")
+    sums = core.groupBy("pool", "start").agg(F.count("*").alias("n"), *(F.sum(f"{_N}{i}").alias(f"s{i}") for i in range(P)), *(F.sum(F.col(f"{_N}{i}") * F.col(f"{_N}{j}")).alias(f"p{i}{j}") for i, j in _PAIRS))
+    out = sums.select("pool", "start", "n", *((F.col(f"s{i}") / F.col("n")).alias(f"_m{i}") for i in range(P)), *(f"p{i}{j}" for i, j in _PAIRS))
+    return _factor(out, lambda i, j: F.col(f"p{i}{j}") / F.col("n") - F.col(f"_m{i}") * F.col(f"_m{j}")).select("pool", "start", *_PARAMS, "det")
+
+
+def estimates(rows: DataFrame) -> DataFrame:
+    """(pool, _m*, _c*, _scale): the estimate with the least determinant of each pool, from rows (pool, features).
+
+    Each start is followed by concentration steps for as long as the determinant falls. ``_scale`` makes squared
+    distances chi-square ones at the edge of the core.
+    """
+    now = written(_starts(rows), "rules-start")
+    done = None
+    while True:
+        step = written(_step(rows, now), "rules-step")
+        old = now.select("pool", "start", F.col("det").alias("old"))
+        fell = written(step.join(old, ["pool", "start"]).filter(F.col("det") < F.col("old") - STILL).drop("old"), "rules-fell")
+        still = now.join(fell.select("pool", "start"), ["pool", "start"], "left_anti")
+        done = still if done is None else done.unionByName(still)
+        if not fell.limit(1).count():
+            break
+        now = fell
+    best = done.groupBy("pool").agg(F.min_by(F.struct("start", *_PARAMS), F.struct("det", "start")).alias("x")).select("pool", "x.*")
+    best = written(best, "rules-best")
+    scale = F.greatest(F.lit(1.0), F.expm1((F.col("_edge") + 0.5) / BINS) / CHI_CORE)
+    return written(best.join(_edges(rows, best)[1], ["pool", "start"]).select("pool", *_PARAMS, scale.alias("_scale")), "rules-estimates")
 
 
 def _counted(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
@@ -133,16 +219,18 @@ def _counted(docs: DataFrame, text_col: str, lang_col: str, source_col: str) ->
     return base_counts(rows, text_col)
 
 
-def fit(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pools, estimates) from rows with base counts and _lang, _source; see :func:`judge`."""
-    good = rows.filter("not base_failed").select("*", F.col("_lang").alias("lang_"), F.col("_source").alias("source_"))
-    good = good.drop("lang", "source").withColumnsRenamed({"lang_": "lang", "source_": "source"})
+def featured(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pools, rows (pool, features)) of the rows with base counts and _lang, _source, a written table, that pass the base rules."""
+    good = rows.filter("not base_failed").select("n_words", "word_chars", "_distinct", "_marks", "_upper", F.col("_lang").alias("lang"), F.col("_source").alias("source"))
     pools = written(_pooled(good), "rules-pools")
     good = good.join(small(pools), ["lang", "source"]).withColumns(_features()).select("pool", *(f"{_N}{i}" for i in range(P)))
-    params = written(_centre(good), "rules-centre")
-    for _ in range(STEPS):
-        params = written(_step(good, params), "rules-step")
-    return pools.withColumnsRenamed({"lang": "_lang", "source": "_source"}), params
+    return pools, written(good, "rules-features")
+
+
+def fit(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pools, estimates) from rows with base counts and _lang, _source; see :func:`judge`."""
+    pools, good = featured(rows)
+    return pools.withColumnsRenamed({"lang": "_lang", "source": "_source"}), estimates(good)
 
 
 def verdicts(rows: DataFrame, fitted: tuple[DataFrame, DataFrame]) -> DataFrame:
@@ -151,20 +239,20 @@ def verdicts(rows: DataFrame, fitted: tuple[DataFrame, DataFrame]) -> DataFrame:
     own = [c for c in rows.columns if c not in ("distance", "kept")]
     out = rows.join(small(pools), ["_lang", "_source"], "left").join(small(params), "pool", "left").withColumns(_features())
     out = out.withColumn("_far", F.when(~F.col("base_failed"), F.round(_distance() / F.col("_scale"), 3)))
-    return out.select(*own, F.col("_far").alias("distance"), (~F.col("base_failed") & (F.col("_far") <= CUT)).alias("kept"))
+    return out.select(*own, F.col("_far").alias("distance"), (~F.col("base_failed") & F.coalesce(F.col("_far") <= CUT, F.lit(True))).alias("kept"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """Ids with the base counts, ``distance`` (squared, robust) and ``kept``.
 
-    Four log rates (characters per word, symbols, repeated words, repeated lines) are judged by the language and source
-    they come from. Location and scatter are minimum-covariance-determinant estimates: from the medians, STEPS
-    concentration steps keep the three quarters of a pool's rows that lie nearest. A floor is added to each variance, as
-    most texts have no symbol or repeat at all; a distance over CUT goes, as does what fails the base rules. Rows that
-    fail them don't enter the estimates.
+    Four logarithms (characters, marks and capitals per word, different words for the length) are judged by the language
+    and source they come from. Location and scatter are minimum-covariance-determinant estimates of the three quarters of
+    a pool's rows that lie nearest, from several starts (:func:`estimates`). A squared distance that chi square exceeds with
+    probability OUTLIER goes, as does what fails the base rules. Rows that fail them don't enter the estimates.
 
-    Null text: no words, so it fails. Null lang or source: a group ``''``. Small groups: see MIN_ROWS. Equal rows get equal
-    verdicts. An empty table gives no rows. Other columns are ignored.
+    Null text: no words, so it fails. Null lang or source: a group ``''``. Small groups: see MIN_ROWS; ``distance`` is null
+    where there is no estimate, and such rows stay. Equal rows get equal verdicts. An empty table gives no rows. Other
+    columns are ignored.
     """
     thin = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
     rows = written(_counted(thin, "text", "lang", "source").drop("text", "lang", "source"), "rules-counts")

@@ -4,13 +4,14 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from spanweave.llm import mix, rules, shard, urls
-from spanweave.llm.common import table
+from spanweave.llm.common import table, written
 
-from .conftest import ODD
+from .conftest import DOCS, ODD
 
 SF = "/root/testdata/sf0.001"
 
@@ -124,6 +125,92 @@ def test_rules_reject_outliers_and_keep_plain_text(spark):
     assert all(out[r[0]]["kept"] for r in plain) and not any(out[r[0]]["kept"] for r in bad)
 
 
+def plain_mcd(x):
+    """(location, scatter, least log determinant, steps) of one pool by plain matrix code: the same starts, cores and stops."""
+    floor = np.eye(rules.P) * (rules.FLOOR * rules.UNIT) ** 2
+    low = lambda v: np.sort(v, axis=0)[(len(v) + 1) // 2 - 1]
+    med = low(x)
+    s = np.maximum(1.4826 * low(np.abs(x - med)), rules.FLOOR * rules.UNIT)
+    z = (x - med) / s
+    norm = (z * z).sum(1)
+    b = np.floor(rules.BINS * np.log1p(norm))
+    half, at, way = z[b <= low(b)], np.tanh(z), z[norm > 0] / np.sqrt(norm[norm > 0])[:, None]
+    ridge = 1e-3 * np.eye(rules.P)
+    best, steps = None, 0
+    for r in (np.eye(rules.P), at.T @ at / len(z) + ridge, way.T @ way / len(z) + ridge, half.T @ half / len(half) + ridge):
+        m, c, det = med, r * np.outer(s, s) + floor, np.inf
+        while True:
+            m2, c2, d2 = concentrated(x, m, c, floor)
+            if d2 >= det - rules.STILL:
+                break
+            m, c, det, steps = m2, c2, d2, steps + 1
+        if best is None or det < best[2]:
+            best = m, c, det
+    return *best, steps
+
+
+def core_of(x, m, c):
+    d = (np.linalg.solve(np.linalg.cholesky(c), (x - m).T) ** 2).sum(0)
+    b = np.floor(rules.BINS * np.log1p(d))
+    edge = np.sort(b)[-(-rules.CORE[0] * len(b) // rules.CORE[1]) - 1]
+    return d, b <= edge, edge
+
+
+def concentrated(x, m, c, floor):
+    core = x[core_of(x, m, c)[1]]
+    cov = np.cov(core.T, bias=True) + floor
+    return core.mean(0), cov, np.linalg.slogdet(cov)[1]
+
+
+def test_rules_match_plain_mcd(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    counted = written(rules._counted(docs, "text", "lang", "source"), "test-counts")
+    pools, good = rules.featured(counted)
+    by = defaultdict(list)
+    for r in good.collect():
+        by[r["pool"]].append([r[f"_q{i}"] for i in range(rules.P)])
+    model, untouched = {}, {}
+    for pool, v in by.items():
+        x = np.array(v, float)
+        m, c, _, steps = plain_mcd(x)
+        assert steps >= 4
+        d, _, edge = core_of(x, m, c)
+        model[pool] = m, c, max(1.0, np.expm1((edge + 0.5) / rules.BINS) / rules.CHI_CORE)
+        med = np.sort(x, axis=0)[(len(x) + 1) // 2 - 1]
+        s = np.maximum(1.4826 * np.sort(np.abs(x - med), axis=0)[(len(x) + 1) // 2 - 1], 5)
+        untouched[pool] = med, np.diag(s**2), max(1.0, np.expm1((core_of(x, med, np.diag(s**2))[2] + 0.5) / rules.BINS) / rules.CHI_CORE)
+    assert len({round(float(np.linalg.slogdet(c)[1]), 2) for _, c, _ in model.values()}) == len(model)  # each pool has a scatter of its own
+    got = {r["doc_id"]: r for r in rules.judge(docs).collect()}
+    rows = counted.join(pools.withColumnsRenamed({"lang": "_lang", "source": "_source"}), ["_lang", "_source"]).withColumns(rules._features()).filter("not base_failed").collect()
+    assert len(rows) == sum(not r["base_failed"] for r in got.values())
+    changed = 0
+    for r in rows:
+        x = np.array([r[f"_q{i}"] for i in range(rules.P)], float)
+        far = lambda m, c, k: ((np.linalg.solve(np.linalg.cholesky(c), x - m)) ** 2).sum() / k  # noqa: B023, E731
+        d = far(*model[r["pool"]])
+        assert got[r["doc_id"]]["distance"] == pytest.approx(d, rel=1e-3, abs=2e-3), r["doc_id"]
+        if abs(d - rules.CUT) > 0.1:
+            assert got[r["doc_id"]]["kept"] == (d <= rules.CUT)
+        changed += abs(far(*untouched[r["pool"]]) - d) > 0.1 * d
+    assert changed > len(rows) / 2  # the steps matter
+
+
+def test_rules_judge_each_pool_by_its_own_scatter(spark):
+    import random
+
+    g = random.Random(3)
+    word = lambda low, high: "".join(g.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(g.randint(low, high)))
+    tight = [(k, " ".join(word(5, 5) for _ in range(200)), "en", "tight", 0) for k in range(100)]
+    wide = [(1000 + k, " ".join(word(n, n + 2) for _ in range(200)), "en", "wide", 0) for k in range(100) for n in [g.randint(5, 9)]]
+    odd = [(5000, " ".join(word(7, 7) for _ in range(200)), "en", "tight", 0), (5001, " ".join(word(7, 7) for _ in range(200)), "en", "wide", 0)]
+    out = {r["doc_id"]: r for r in rules.judge(spark.createDataFrame(tight + wide + odd, DOCS)).collect()}
+    assert not out[5000]["kept"] and out[5001]["kept"] and sum(out[r[0]]["kept"] for r in tight + wide) >= 196
+
+
+def test_chi_square():
+    assert rules.chi_square(0.75) == pytest.approx(5.3853, abs=1e-4) and rules.chi_square(0.999) == pytest.approx(18.467, abs=1e-3)
+
+
 def test_rules_odd(odd, none):
     rows = rules.judge(odd).collect()
     assert len(rows) == len(ODD) and all(r["kept"] is not None for r in rows) and not any(r["kept"] and r["base_failed"] for r in rows)
