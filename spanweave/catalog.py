@@ -5,6 +5,7 @@ The tables hold no mappings, so ``mappings`` derives some from ``lineitem``, the
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
@@ -15,7 +16,7 @@ from .plans import filtering
 from .schema import FilterConfig
 
 #: Both dialects read this, over lineitem; {i} is the integer type. (orderkey, linenumber) may repeat, so rank is a row number.
-_RAW = """SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) - 1 AS rank,
+_RAW = """SELECT {rank} AS rank,
   concat('G', CAST(l_suppkey % 5 AS {s}), '#1#chr', CAST(l_partkey % 7 AS {s})) AS query, CAST(300000 AS BIGINT) AS query_len,
   (l_orderkey * 131 + l_linenumber * 17) % {m} AS query_start, (l_orderkey * 131 + l_linenumber * 17) % {m} + 100 + CAST(l_quantity AS BIGINT) * 40 AS query_end,
   CASE WHEN l_returnflag = 'R' THEN '-' ELSE '+' END AS strand,
@@ -25,7 +26,10 @@ _RAW = """SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey
   CAST(floor((100 + l_quantity * 40) * (100 - round(l_discount * 100)) / 100) AS BIGINT) AS matches, CAST(100 + l_quantity * 40 AS BIGINT) AS block_length,
   (100 - round(l_discount * 100)) / 100 AS identity FROM {t}"""
 MODULUS = 200_000
-MAPPINGS = _RAW.format(s="VARCHAR", m=MODULUS, t="lineitem").replace("AS rank", 'AS "rank"')
+_ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate"
+MAPPINGS = _RAW.format(s="VARCHAR", m=MODULUS, t="lineitem", rank=f"row_number() OVER (ORDER BY {_ORDER}) - 1").replace("AS rank", 'AS "rank"')
+#: Order keys of one range of ranks.
+RANGE = 4096
 
 FLAGSHIP = "sweep_query_k1"
 CHAIN_GAP = 2_000
@@ -33,8 +37,12 @@ PIPELINE = FilterConfig(query_limit=1, target_limit=1, scaffold_gap=CHAIN_GAP, m
 
 
 def mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived mappings. The row number of these test tables is one sort; real sources come with ranks."""
-    return spark.sql(_RAW.format(s="STRING", m=MODULUS, t=f"parquet.`{sf_dir}/lineitem.parquet`")).withColumn("matches", F.col("matches").cast("long"))
+    """The derived mappings. Rows are numbered in two steps, a count per range of order keys and a number in the range; real sources come with ranks."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("_range", F.expr(f"l_orderkey div {RANGE}"))
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_range")) - F.col("_n")).alias("_before"))
+    rank = f"_before + row_number() OVER (PARTITION BY _range ORDER BY {_ORDER}) - 1"
+    return spark.sql(_RAW.format(s="STRING", m=MODULUS, t="{rows}", rank=rank), rows=rows.join(before, "_range")).withColumn("matches", F.col("matches").cast("long"))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,7 +57,8 @@ def _query(name: str, sql: str | None = None):
     def put(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[name] = f
         if sql is not None:
-            ORACLES[name] = f"WITH mappings AS MATERIALIZED ({MAPPINGS}) {sql}" if "mappings" in sql else sql
+            tables = re.match(r"\w+ AS (MATERIALIZED )?\(", sql)  # more tables, then a query
+            ORACLES[name] = f"WITH {'RECURSIVE ' if tables else ''}mappings AS MATERIALIZED ({MAPPINGS}){',' if tables else ''} {sql}" if "mappings" in sql else sql
         return f
 
     return put
@@ -226,13 +235,28 @@ def _(s, d):
 
 
 _PW = 'OVER (PARTITION BY query, target, strand ORDER BY query_start, "rank")'
-_NEAR = f"""SELECT *, sum(CASE WHEN query_start - pqe > 300 OR (CASE WHEN strand = '+' THEN target_start - pte ELSE pts - target_end END) > 300 THEN 1 ELSE 0 END)
-  OVER (PARTITION BY query, target, strand ORDER BY query_start, "rank" ROWS UNBOUNDED PRECEDING) AS run
-  FROM (SELECT *, lag(query_end) {_PW} AS pqe, lag(target_end) {_PW} AS pte, lag(target_start) {_PW} AS pts FROM mappings)"""
+#: Folds over the rows of a group in order, one row of every group a round.
+_NTH = "SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS n FROM mappings"
 
 
-@_query("merge_near", f"""SELECT query, target, strand, run::BIGINT AS run, min(query_start) AS query_start, max(query_end) AS query_end, min(target_start) AS target_start, max(target_end) AS target_end,
-  sum(matches)::BIGINT AS matches, sum(block_length)::BIGINT AS block_length, round(avg(identity), 6) AS identity, count(*) AS members, min("rank") AS "rank" FROM ({_NEAR}) GROUP BY query, target, strand, run""")
+def _fold(keys: str, order: str, ok: str, state: dict[str, tuple[str, str]]) -> str:
+    """Tables o (rows, numbered) and f (rows, the rank ``run`` that began their run, and the state after them); ``ok`` and what a state becomes look at f (before) and o."""
+    group = [k.strip() for k in keys.split(",")]
+    names = ", ".join(f"{first} AS {k}" for k, (first, _) in state.items())
+    later = ", ".join(f"CASE WHEN {ok} THEN {then} ELSE {first.replace('r.', 'o.')} END AS {k}" for k, (first, then) in state.items())
+    on = " AND ".join(f"o.{k} = f.{k}" for k in group)
+    return f"""o AS MATERIALIZED ({_NTH.format(keys=keys, order=order)}),
+  f AS (SELECT {', '.join(f'r.{k}' for k in group)}, r.n, r."rank", r."rank" AS run, {names} FROM o r WHERE n = 1
+    UNION ALL SELECT {', '.join(f'o.{k}' for k in group)}, o.n, o."rank", CASE WHEN {ok} THEN f.run ELSE o."rank" END AS run, {later} FROM f JOIN o ON {on} AND o.n = f.n + 1)"""
+
+
+_NEAR_F = _fold("query, target", 'target_start, query_start, "rank"', "o.strand = f.st AND o.target_start - (f.ts + f.len) <= 300 AND o.query_start - (f.qs + f.len) <= 300",
+                {"qs": ("r.query_start", "f.qs"), "ts": ("r.target_start", "f.ts"), "st": ("r.strand", "f.st"), "len": ("r.block_length", "o.target_start + o.block_length - f.ts")})
+
+
+@_query("merge_near", f"""{_NEAR_F}, x AS (SELECT o.*, f.run, f.n AS place, f.len, f.qs, f.ts FROM o JOIN f ON o."rank" = f."rank")
+  SELECT query, target, min(strand) AS strand, min(qs) AS query_start, min(qs) + arg_max(len, place) AS query_end, min(ts) AS target_start, min(ts) + arg_max(len, place) AS target_end,
+  sum(matches)::BIGINT AS matches, arg_max(len, place) AS block_length, round(avg(identity), 6) AS identity, count(*) AS members, run AS "rank" FROM x GROUP BY query, target, run""")
 def _(s, d):
     return _r(chain.merge_near(mappings(s, d), 300), "identity")
 
@@ -246,7 +270,14 @@ def _(s, d):
     return chain.chain_adjacent(mappings(s, d), 2000).select("rank", "query", "target", "strand", "run")
 
 
-@_query("merge_close")
+_CLOSE = _fold("query, target, strand", 'query_start, "rank"', "o.query_start - f.qe < 100 AND CASE WHEN o.strand = '+' THEN o.target_start - f.te ELSE f.ts - o.target_end END < 100",
+               {"qe": ("r.query_end", "greatest(f.qe, o.query_end)"), "ts": ("r.target_start", "CASE WHEN o.strand = '+' THEN f.ts ELSE greatest(f.ts, o.target_start) END"),
+                "te": ("r.target_end", "CASE WHEN o.strand = '+' THEN greatest(f.te, o.target_end) ELSE f.te END")})
+
+
+@_query("merge_close", f"""{_CLOSE}, x AS (SELECT o.*, f.run, f.n AS place, f.qe, f.ts, f.te FROM o JOIN f ON o."rank" = f."rank")
+  SELECT query, target, strand, min(query_start) AS query_start, max(query_end) AS query_end, arg_max(ts, place) AS target_start, arg_max(te, place) AS target_end, sum(matches)::BIGINT AS matches,
+  max(query_end) - min(query_start) AS block_length, count(*) AS members, run AS "rank" FROM x GROUP BY query, target, strand, run""")
 def _(s, d):
     return chain.merge_close(mappings(s, d))
 
@@ -256,9 +287,19 @@ def _(s, d):
     return _r(filtering.ordered_chains(chain.chain_members(mappings(s, d), CHAIN_GAP)), "identity")
 
 
-@_query("transitive_chains")
+#: Labels spread over the links of a pair and strand until none is new; a chain's root is its first row by query start and rank.
+_TRANSITIVE = f"""o AS MATERIALIZED ({_NTH.format(keys='query, target, strand', order='query_start, "rank"')}),
+  e AS MATERIALIZED (SELECT a."rank" AS x, b."rank" AS y FROM o a JOIN o b ON a.query = b.query AND a.target = b.target AND a.strand = b.strand AND a.n < b.n AND b.query_start <= a.query_end + 300
+    AND CASE WHEN a.strand = '+' THEN b.target_start - a.target_end ELSE a.target_start - b.target_end END <= 300),
+  w AS MATERIALIZED (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+  c AS (SELECT "rank" AS x, n AS root FROM o UNION SELECT w.y, c.root FROM c JOIN w ON w.x = c.x),
+  l AS (SELECT x, min(root) AS root FROM c GROUP BY x)"""
+
+
+@_query("transitive_chains", f"""{_TRANSITIVE} SELECT m."rank", m.query, m.target, m.strand, r."rank" AS chain_root, r.query_start AS chain_start FROM o m JOIN l ON l.x = m."rank"
+  JOIN o r ON r.query = m.query AND r.target = m.target AND r.strand = m.strand AND r.n = l.root""")
 def _(s, d):
-    return _r(chain.chain_table(chain.chain_members(mappings(s, d), 300)), "identity")
+    return chain.chain_transitive(mappings(s, d), 300).select("rank", "query", "target", "strand", "chain_root", "chain_start")
 
 
 # joins

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.exprs import end_from_block
 from ..session import ship
 from .sweep import stream
 
@@ -131,38 +132,88 @@ def _previous(of: Column, keys: list[str], order: list[str]) -> Column:
     return F.lag(of).over(W.partitionBy(*keys).orderBy(*order))
 
 
-def _most_before(of: str, keys: list[str], order: list[str]) -> Column:
-    return F.max(of).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
-
-
 def chain_query_gaps(df: DataFrame, gap: int) -> DataFrame:
     """``df`` with ``run``: mappings of a pair in order of query start, a new run where the gap to the one before is over ``gap``."""
     order = ["query_start", "rank"]
     return _runs(df, ["query", "target"], F.col("query_start") - _previous(F.col("query_end"), ["query", "target"], order) > gap, order)
 
 
+def _folded(keys: list[str], merge):
+    """A function for ``mapInArrow`` over sorted rows: ``run`` is the rank of the row that began a row's run; memory holds a batch.
+
+    ``merge(run, row)`` gives the run with the row, or None if the row begins a new one; both are tuples (query_start, query_end,
+    target_start, target_end, strand, block_length).
+    """
+
+    def run(batches):
+        last, open_run, first = None, None, None
+        for b in batches:
+            cols = [b.column(c).to_pylist() for c in ("query_start", "query_end", "target_start", "target_end", "strand", "block_length")]
+            out = []
+            for key, rank, row in zip(zip(*(b.column(k).to_pylist() for k in keys), strict=True), b.column("rank").to_pylist(), zip(*cols, strict=True), strict=True):
+                joined = merge(open_run, row) if key == last else None
+                if joined is None:
+                    joined, first = row, rank
+                last, open_run = key, joined
+                out.append(first)
+            yield b.set_column(b.schema.get_field_index("run"), "run", pa.array(out, pa.int64()))
+
+    return run
+
+
+def _merged(df: DataFrame, keys: list[str], order: list[str], merge) -> DataFrame:
+    ship(df.sparkSession)
+    rows = df.select("*", F.lit(0).cast("long").alias("run"))
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return dealt.mapInArrow(_folded(keys, merge), dealt.schema)
+
+
 def merge_close(df: DataFrame, gap: int = 100) -> DataFrame:
-    """Mappings of a pair and strand merged while they lie less than ``gap`` from all before them on the query, and from the one before on the target."""
-    order = ["query_start", "rank"]
-    q = F.col("query_start") - _most_before("query_end", PAIR, order)
-    t = F.when(F.col("strand") == "+", F.col("target_start") - _previous(F.col("target_end"), PAIR, order)).otherwise(_previous(F.col("target_start"), PAIR, order) - F.col("target_end"))
-    runs = _runs(df, PAIR, (q >= gap) | (t >= gap), order)
-    return runs.groupBy(*PAIR, "run").agg(
-        F.min("query_start").alias("query_start"), F.max("query_end").alias("query_end"), F.min("target_start").alias("target_start"), F.max("target_end").alias("target_end"),
-        F.sum("matches").alias("matches"), F.count("*").alias("members"), F.min("rank").alias("rank"))
+    """Mappings of a pair and strand, by query start, merged while they lie less than ``gap`` from the run so far on both axes.
+
+    The query end of a run is the greatest so far; so are its target end (forward) or its target start (reverse), from which
+    gaps are measured. A merged row keeps the first one's target start (forward) or target end (reverse).
+    """
+
+    def merge(run, row):
+        qs, qe, ts, te, strand, n = run
+        t = row[2] - te if strand == "+" else ts - row[3]
+        if max(0, row[0] - qe) >= gap or max(0, t) >= gap:
+            return None
+        return (qs, max(qe, row[1]), ts, max(te, row[3]), strand, n) if strand == "+" else (qs, max(qe, row[1]), max(ts, row[2]), te, strand, n)
+
+    runs = _merged(df, PAIR, ["query_start", "rank"], merge)
+    forward, first = F.col("strand") == "+", F.struct("query_start", "rank")
+    box = runs.groupBy(*PAIR, "run").agg(
+        F.min("query_start").alias("query_start"), F.max("query_end").alias("query_end"),
+        F.min_by("target_start", first).alias("_s"), F.max("target_start").alias("_m"), F.min_by("target_end", first).alias("_e"), F.max("target_end").alias("_t"),
+        F.sum("matches").alias("matches"), F.count("*").alias("members"))
+    return box.select(
+        *PAIR, "query_start", "query_end", F.when(forward, F.col("_s")).otherwise(F.col("_m")).alias("target_start"), F.when(forward, F.col("_t")).otherwise(F.col("_e")).alias("target_end"),
+        "matches", (F.col("query_end") - F.col("query_start")).alias("block_length"), "members", F.col("run").alias("rank"))
 
 
 def merge_near(df: DataFrame, gap: int) -> DataFrame:
-    """As :func:`merge_close` with both gaps up to ``gap`` between neighbours, and the mean identity of what was merged."""
-    order = ["query_start", "rank"]
-    q = F.greatest(F.lit(0), F.col("query_start") - _previous(F.col("query_end"), PAIR, order))
-    ahead = F.col("target_start") - _previous(F.col("target_end"), PAIR, order)
-    back = _previous(F.col("target_start"), PAIR, order) - F.col("target_end")
-    t = F.greatest(F.lit(0), F.when(F.col("strand") == "+", ahead).otherwise(back))
-    runs = _runs(df, PAIR, (q > gap) | (t > gap), order)
-    return runs.groupBy(*PAIR, "run").agg(
-        F.min("query_start").alias("query_start"), F.max("query_end").alias("query_end"), F.min("target_start").alias("target_start"), F.max("target_end").alias("target_end"),
-        F.sum("matches").alias("matches"), F.sum("block_length").alias("block_length"), F.avg("identity").alias("identity"), F.count("*").alias("members"), F.min("rank").alias("rank"))
+    """Mappings of a pair, by target start and then query start, merged while strand is the same and both gaps are at most ``gap``; with their mean identity.
+
+    Ends are starts and block lengths. A run's target end is that of its last row, its block length leads from its first
+    target start there, and its query end is its first query start and that length.
+    """
+
+    def merge(run, row):
+        qs, _, ts, _, strand, n = run
+        if strand != row[4] or row[2] - (ts + n) > gap or row[0] - (qs + n) > gap:
+            return None
+        return qs, None, ts, None, strand, row[2] + row[5] - ts
+
+    runs = _merged(df, ["query", "target"], ["target_start", "query_start", "rank"], merge)
+    order = F.struct("target_start", "query_start", "rank")
+    out = runs.groupBy("query", "target", "run").agg(
+        F.min_by("strand", order).alias("strand"), F.min_by("query_start", order).alias("query_start"), F.min_by("target_start", order).alias("target_start"),
+        F.max_by(end_from_block(F.col("target_start"), F.col("block_length")), order).alias("_end"), F.sum("matches").alias("matches"), F.avg("identity").alias("identity"), F.count("*").alias("members"))
+    length = F.col("_end") - F.col("target_start")
+    return out.select(
+        *PAIR, "query_start", end_from_block(F.col("query_start"), length).alias("query_end"), "target_start", F.col("_end").alias("target_end"), "matches", length.alias("block_length"), "identity", "members", F.col("run").alias("rank"))
 
 
 def chain_adjacent(df: DataFrame, gap: int) -> DataFrame:

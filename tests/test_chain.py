@@ -79,3 +79,20 @@ def test_windows(spark):
     assert [r["run"] for r in chain.chain_adjacent(df, 60).orderBy("rank").collect()] == [0, 0, 1]
     t = chain.chain_transitive(df, 60)
     assert t.select(*chain.CHAIN).distinct().count() == 2
+
+
+def test_merge_close_measures_gaps_from_the_run_itself(spark):
+    """A long mapping of an earlier run hides no gap of a later one."""
+    rows = [("q", 0, 10000, "t", 0, 1000, 1.0), ("q", 100, 200, "t", 5000, 5100, 1.0), ("q", 400, 500, "t", 5150, 5250, 1.0)]
+    assert sorted(r["members"] for r in chain.merge_close(mappings(spark, rows), 100).collect()) == [1, 1, 1]
+
+
+def test_merge_close_reverse_keeps_the_greatest_start(spark):
+    rows = [("q", 0, 100, "t", 500, 600, 1.0, "-"), ("q", 110, 200, "t", 420, 510, 1.0, "-")]
+    got = chain.merge_close(mappings(spark, rows), 100).first()
+    assert (got["query_start"], got["query_end"], got["target_start"], got["target_end"], got["members"]) == (0, 200, 500, 600, 2)
+
+
+def test_merge_near_breaks_at_a_strand_change(spark):
+    rows = [("q", 0, 100, "t", 0, 100, 1.0), ("q", 110, 210, "t", 110, 210, 1.0, "-"), ("q", 220, 320, "t", 220, 320, 1.0)]
+    assert sorted(r["members"] for r in chain.merge_near(mappings(spark, rows), 500).collect()) == [1, 1, 1]
