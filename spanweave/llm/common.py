@@ -46,6 +46,12 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns named _own_0 and so on, and the new name of each: what an operator adds can't clash with them."""
+    own = {c: f"_own_{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*own.values()), own
+
+
 def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """A written table, to be broadcast where it has ``rows`` rows at most; a larger one is joined by a shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

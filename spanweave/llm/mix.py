@@ -72,10 +72,11 @@ def mix(docs: DataFrame, domains: Mapping[str, int] = DOMAINS, langs: Mapping[st
     ids share a hash: they are in or out together. An empty table gives none. Weights are positive integers; a name
     without one has 1. Columns that ``docs`` has by the names of the three new ones are replaced.
     """
-    text, source, lang = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("source"), F.lit("")), F.coalesce(F.col("lang"), F.lit(""))
+    text, source, lang = (F.coalesce(F.col(c), F.lit("")) for c in ("text", "source", "lang"))
     domain = domain_of(source) if domain is None else domain
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    thin = written(docs.select(key.alias("key"), domain.alias("domain"), lang.alias("lang"), source.alias("source"), F.regexp_count(text, F.lit(NON_SPACE + "+")).cast("long").alias("tokens")), "mix-thin")
+    new = {"key": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "domain": domain, "lang": lang, "source": source, "tokens": F.regexp_count(text, F.lit(NON_SPACE + "+")).cast("long")}
+    own = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
+    thin = written(docs.select(*(c.alias(k) for k, c in new.items())), "mix-thin")
     leaf = ["domain", "lang", "source"]
     supply = thin.groupBy(*leaf).agg(F.sum("tokens").alias("tokens"))
     plan = leaf_budgets(supply, domains, langs, sources or {}, max_epochs, budget)
@@ -94,10 +95,10 @@ def mix(docs: DataFrame, domains: Mapping[str, int] = DOMAINS, langs: Mapping[st
     cuts = fits.unionByName(inside.filter("upto <= rest").groupBy(*leaf).agg(F.max("h").alias("cut"))).groupBy(*leaf).agg(F.max("cut").alias("cut"))
     plan = written(plan.join(cuts, leaf, "left").select(*(F.col(c).alias(f"_{c}") for c in leaf), "full", F.coalesce("cut", F.lit("")).alias("cut")), "mix-cuts")
 
-    kept = [c for c in docs.columns if c not in ("domain", "tokens", "copies")]
-    out = docs.select(*kept, domain.alias("domain"), lang.alias("_l"), source.alias("_s"), F.regexp_count(text, F.lit(NON_SPACE + "+")).cast("long").alias("tokens"))
-    out = out.join(small(plan), (F.col("domain") == F.col("_domain")) & (F.col("_l") == F.col("_lang")) & (F.col("_s") == F.col("_source")))
-    return out.select(*kept, "domain", "tokens", (F.col("full") + F.when(hashed(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) <= F.col("cut"), 1).otherwise(0)).cast("long").alias("copies"))
+    out = docs.select(*(F.col(c).alias(v) for c, v in own.items()), *(c.alias(k) for k, c in new.items()))
+    out = out.join(small(plan), (F.col("domain") == F.col("_domain")) & (F.col("lang") == F.col("_lang")) & (F.col("source") == F.col("_source")))
+    kept = [F.col(v).alias(c) for c, v in own.items() if c not in ("domain", "tokens", "copies")]
+    return out.select(*kept, "domain", "tokens", (F.col("full") + F.when(hashed(F.col("key")) <= F.col("cut"), 1).otherwise(0)).cast("long").alias("copies"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .common import small, small_batches, table, written
+from .common import renamed, small, small_batches, table, written
 
 #: SetSketch with base B, rate A and registers 0 .. Q + 1.
 B, A, Q = 1.001, 20.0, (1 << 16) - 2
@@ -367,12 +367,11 @@ def keep_first(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
     Texts are moved only of ids that come more than once, or if there are more than BROADCAST_IDS ids to drop.
     """
-    own = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
-    rows, key = docs.withColumnsRenamed(own), F.col(own["doc_id"]).cast("long")
+    rows, own = renamed(docs)
     ids = docs.select(F.col("doc_id").cast("long").alias("id")).filter("id is not null")
     again = small(written(ids.groupBy("id").count().filter("count > 1").select("id"), "near-again"), BROADCAST_IDS)
     gone = near_duplicates(docs, rule).filter("not kept").select(F.col("doc_id").alias("id")).distinct()
-    rows = rows.withColumn("id", key)
+    rows = rows.withColumn("id", F.col(own["doc_id"]).cast("long"))
     left = rows.join(small(written(gone, "near-gone"), BROADCAST_IDS), "id", "left_anti")
     once = left.join(again, "id", "left_semi").withColumn("_nth", F.row_number().over(W.partitionBy("id").orderBy("id"))).filter("_nth = 1").drop("_nth")
     out = left.join(again, "id", "left_anti").unionByName(once)

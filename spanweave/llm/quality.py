@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import small_batches, table
+from .common import renamed, small_batches, table
 from .labelled import Sample, held_out, sample
 
 #: Bytes of a chunk and from one chunk to the next: neighbours share more than a filter spans.
@@ -153,8 +153,8 @@ def _gradients(model: Model, texts: list[str], y: np.ndarray, weight: np.ndarray
     return out
 
 
-def _probability(spark: SparkSession, model: Model) -> Column:
-    """The score of column ``text`` as an Arrow-batched function."""
+def _probability(spark: SparkSession, model: Model, text_col: str = "text") -> Column:
+    """The score of a column of texts as an Arrow-batched function."""
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # some 30 kB
 
@@ -164,7 +164,7 @@ def _probability(spark: SparkSession, model: Model) -> Column:
 
         return pd.Series(shared.value.probabilities(texts.tolist()) if len(texts) else np.zeros(0))
 
-    return run(F.coalesce(F.col("text"), F.lit("")))
+    return run(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
@@ -176,8 +176,9 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
 def keep(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs``, all columns, that score ``threshold`` or more."""
-    scored = docs.withColumn("_score", _probability(docs.sparkSession, model))
-    return scored.filter(F.col("_score") >= threshold).select(*docs.columns)
+    rows, own = renamed(docs)
+    scored = rows.withColumn("score", _probability(docs.sparkSession, model, own["text"])).filter(F.col("score") >= threshold)
+    return scored.select(*(F.col(v).alias(k) for k, v in own.items()))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import NON_SPACE, SPACE, small, table, written
+from .common import NON_SPACE, SPACE, renamed, small, table, written
 
 SYMBOLS = "#*$%&|<>"
 #: A language's source with fewer rows is judged with the rest of its language, and that with all such rows; with fewer even then, by the base rules alone.
@@ -262,8 +262,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def keep(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of ``docs``, all columns, that :func:`judge` keeps. The rows are written once with their counts, which the estimates and the verdicts then read."""
-    own = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
-    rows = written(_counted(docs.withColumnsRenamed(own), own[text_col], own[lang_col], own[source_col]), "rules-rows")
+    docs, own = renamed(docs)
+    rows = written(_counted(docs, own[text_col], own[lang_col], own[source_col]), "rules-rows")
     out = verdicts(rows, fit(rows)).filter("kept")
     return out.select(*(F.col(v).alias(k) for k, v in own.items()))
 

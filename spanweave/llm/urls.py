@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import small, table, written
+from .common import renamed, small, table, written
 
 #: Validity intervals are cut at multiples of so many days, so that a join key is an entry and a span of time.
 SPAN_DAYS = 32
@@ -12,8 +12,8 @@ DAY0 = "2020-01-01"
 
 
 def host_of(url: Column) -> Column:
-    """The host in lower case, without user, port and final dot; '' where there is none."""
-    return F.regexp_replace(F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))), r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), r"\.$", "")
+    """The host in lower case, without user, port and final dot; an IPv6 address without its brackets; '' where there is none."""
+    return F.regexp_replace(F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))), r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?\[?((?<=\[)[^/?#\]]*|[^/?#:]*)", 1), r"\.$", "")
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -43,8 +43,9 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", d
     tables give no captures, or none blocked. Columns of these names in ``captures`` are replaced.
     """
     new = ("host", "blocked", "lists", "listed_since")
-    rows = captures.select(*[c for c in captures.columns if c not in new], host_of(F.col(url_col)).alias("host"))
-    seen = rows.select("host", F.col(day_col).alias("_day")).filter((F.col("host") != "") & F.col("_day").isNotNull()).distinct()
+    rows, own = renamed(captures)
+    rows = rows.withColumns({"host": host_of(F.col(own[url_col])), "day": F.col(own[day_col])})
+    seen = rows.select("host", F.col("day").alias("_day")).filter((F.col("host") != "") & F.col("_day").isNotNull()).distinct()
     parts = F.split("host", r"\.")
     keys = seen.select("host", "_day", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))).alias("key"))
     keys = keys.withColumn("span", F.floor(F.col("_day") / SPAN_DAYS))
@@ -53,8 +54,8 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", d
     held = held.withColumn("span", F.explode(F.sequence(F.floor(F.col("since") / SPAN_DAYS), F.floor(F.least(F.coalesce(F.col("until") - 1, F.lit(last)), F.lit(last)) / SPAN_DAYS))))
     met = keys.join(small(written(held, "url-intervals")), ["key", "span"]).filter((F.col("since") <= F.col("_day")) & (F.col("until").isNull() | (F.col("_day") < F.col("until"))))
     verdict = met.groupBy(F.col("host").alias("_host"), "_day").agg(F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"), F.min("since").alias("listed_since"))
-    out = rows.join(verdict, (F.col("host") == F.col("_host")) & (F.col(day_col) == F.col("_day")), "left")
-    return out.select(*rows.columns, F.col("lists").isNotNull().alias("blocked"), F.coalesce("lists", F.lit("")).alias("lists"), "listed_since")
+    out = rows.join(verdict, (F.col("host") == F.col("_host")) & (F.col("day") == F.col("_day")), "left")
+    return out.select(*(F.col(v).alias(k) for k, v in own.items() if k not in new), "host", F.col("lists").isNotNull().alias("blocked"), F.coalesce("lists", F.lit("")).alias("lists"), "listed_since")
 
 
 def _number(of: Column, salt: str) -> Column:

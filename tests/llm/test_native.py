@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from spanweave.llm import mix, rules, shard, urls
 from spanweave.llm.common import table, written
 
-from .conftest import DOCS, ODD
+from .conftest import CLASHES, DOCS, ODD, untouched
 
 SF = "/root/testdata/sf0.001"
 
@@ -66,7 +66,7 @@ def test_mix_prefixes(spark):
 
 def test_mix_odd(odd, none):
     rows = mix.mix(odd).collect()
-    assert len(rows) == len(ODD) and all(r["copies"] >= 0 for r in rows)
+    assert len(rows) == len(ODD) and all(r["copies"] >= 0 for r in rows) and untouched(rows)
     assert len({r["copies"] for r in rows if r["doc_id"] == 5}) == 1
     assert mix.mix(none).count() == 0
 
@@ -215,7 +215,8 @@ def test_rules_odd(odd, none):
     rows = rules.judge(odd).collect()
     assert len(rows) == len(ODD) and all(r["kept"] is not None for r in rows) and not any(r["kept"] and r["base_failed"] for r in rows)
     kept = rules.keep(odd)
-    assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in rows if r["kept"])
+    after = kept.collect()
+    assert kept.columns == odd.columns and sorted(r["doc_id"] for r in after) == sorted(r["doc_id"] for r in rows if r["kept"]) and untouched(after)
     assert rules.judge(none).count() == 0 and rules.keep(none).count() == 0
 
 
@@ -241,9 +242,9 @@ def as_of(host, day):
 def test_urls_as_of(spark):
     hosts = ["bad.com", "x.bad.com", "notbad.com", "far.org", "big.net", "again.io", "a.b.c.again.io"]
     caps = [(k, f"https://U@{h.upper()}:80/p?q#f", d) for k, (h, d) in enumerate((h, d) for h in hosts for d in range(0, 120, 5))] + [(900, None, 5), (901, "nonsense", 5), (902, "http://bad.com/", None), (0, "https://bad.com/", 15), (0, "https://bad.com/", 15)]
-    df = spark.createDataFrame(caps, "page_id long, url string, fetch_day long").withColumn("key", F.lit(1)).withColumn("lists", F.lit("old"))
+    df = spark.createDataFrame(caps, "page_id long, url string, fetch_day long").withColumn("lists", F.lit("old")).withColumns({c: F.lit(k) for k, c in enumerate(CLASHES)})
     out = urls.filter_urls(df, spark.createDataFrame(ENTRIES, "list string, key string, action string, day long")).collect()
-    assert len(out) == len(caps)
+    assert len(out) == len(caps) and all(r[c] == k for r in out for k, c in enumerate(CLASHES) if c != "host")
     for r in out:
         want = "" if r["url"] in (None, "nonsense") or r["fetch_day"] is None else as_of(r["host"], r["fetch_day"])
         assert (r["lists"], r["blocked"]) == (want, want != ""), r
@@ -257,7 +258,7 @@ def test_urls_empty(spark):
     assert not urls.filter_urls(df, none).first()["blocked"] and urls.filter_urls(df.limit(0), none).count() == 0
 
 
-@pytest.mark.parametrize(("url", "host"), [("http://A.b/c", "a.b"), ("https://u:p@h.org:8/x", "h.org"), ("ftp://h.", "h"), ("mailto:x", ""), ("", "")])
+@pytest.mark.parametrize(("url", "host"), [("http://A.b/c", "a.b"), ("https://u:p@h.org:8/x", "h.org"), ("ftp://h.", "h"), ("http://[2001:db8::1]:80/x", "2001:db8::1"), ("http://u@[::1]/", "::1"), ("mailto:x", ""), ("", "")])
 def test_hosts(spark, url, host):
     assert spark.createDataFrame([(url,)], "u string").select(urls.host_of(F.col("u"))).first()[0] == host
 

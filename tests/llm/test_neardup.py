@@ -9,7 +9,7 @@ import pytest
 from spanweave.llm import neardup
 from spanweave.llm.common import table
 
-from .conftest import DOCS, ODD
+from .conftest import DOCS, ODD, untouched
 
 
 def shingle_set(t, k):
@@ -76,6 +76,7 @@ def test_odd(odd, none):
     by = {r["doc_id"]: r for r in rows}
     assert by[0]["component_id"] == by[4]["component_id"] == 0 and by[1]["n_shingles"] == by[2]["n_shingles"] == by[3]["n_shingles"] == 0 and by[2]["kept"] and by[None]["kept"]
     kept = neardup.keep_first(odd)
+    assert untouched(kept.collect())
     assert kept.columns == odd.columns and sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect()) == [(False, i) for i in (0, 1, 2, 3, 5, 7, 8, 9)] + [(True, None)]
     assert neardup.near_duplicates(none).count() == 0 and neardup.keep_first(none).count() == 0
 

@@ -11,7 +11,7 @@ from spanweave.llm import extract, fingerprint, labelled, packing, quality, toxi
 from spanweave.llm.common import table
 from spanweave.llm.tokenize import Words, vocabulary
 
-from .conftest import ODD
+from .conftest import ODD, untouched
 
 SF = "/root/testdata/sf0.001"
 
@@ -252,10 +252,69 @@ def test_classifiers_odd(spark, odd, none, module):
     rows = module.score(odd, model).collect()
     assert len(rows) == len(ODD) and all(0 <= r["score"] <= 1 for r in rows)
     assert module.score(none, model).count() == 0
+    if module is quality:
+        kept = quality.keep(odd, model, 0.0)
+        assert kept.columns == odd.columns and kept.count() == len(ODD) and untouched(kept.collect())
     blank = module.train(labelled.sample(none, labels.limit(0), label, module.MOST, module.MAX_CHARS))
     assert all(0 <= r["score"] <= 1 for r in module.score(odd, blank).collect())
 
 
+def test_sample_is_drawn_among_texts_that_fit(spark):
+    docs = spark.createDataFrame([(i, "x" * (50 if i % 2 else 5)) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 3 == 0) for i in range(200)], "doc_id long, quality boolean")
+    fits = [i for i in range(0, 200, 2) if not fold(i)]
+    s = labelled.sample(docs, labels, "quality", (10, 1000), 20)
+    assert s.counts == (sum(i % 3 != 0 for i in fits), sum(i % 3 == 0 for i in fits)) and s.y.count(0) == 10 and s.y.count(1) == s.counts[1] and set(s.texts) == {"xxxxx"}
+
+
+def plain_toxicity(model, text):
+    """The score n-gram by n-gram, each place of the table once, from the model's weights and the hash of the n-gram alone."""
+    t = " " + " ".join(text.lower().split()) + " "
+    places = {one_gram(g) for n in toxicity.SIZES for g in (t[i : i + n] for i in range(len(t) - n + 1))}
+    z = sum(float(model.weight[p]) for p in places) + model.bias
+    return 1 / (1 + np.exp(-z))
+
+
+def one_gram(g):
+    """The table place of one n-gram, character by character."""
+    mask, h = (1 << 64) - 1, 0
+    for k, ch in enumerate(g):
+        c = ord(ch) * int(toxicity._M1) & mask
+        c ^= c >> 29
+        h = c if not k else (h * int(toxicity._STEP) + c) & mask
+    return ((h ^ (h >> 31)) * int(toxicity._M2) & mask) >> (64 - toxicity.BITS)
+
+
+def test_toxicity_matches_plain_scores(spark):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    model = toxicity.train(labelled.sample(docs, labels, "toxic", toxicity.MOST, toxicity.MAX_CHARS))
+    text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    some = [r for r in toxicity.score(docs, model).collect() if len(text[r["doc_id"]]) < 3000][:40]
+    assert some and all(r["score"] == pytest.approx(plain_toxicity(model, text[r["doc_id"]]), abs=1e-5) for r in some)
+
+
+def plain_quality(model, text):
+    """The network's answer for one text, chunk by chunk and place by place."""
+    raw = text.encode()
+    tops = []
+    for j in range(1 + max(0, -(-(len(raw) - quality.CHUNK) // quality.HOP))):
+        part = list(raw[j * quality.HOP : j * quality.HOP + quality.CHUNK])
+        e = model.embed[np.array(part + [quality.PAD] * (quality.CHUNK - len(part)))]
+        h1 = [np.maximum(e[i : i + quality.WIDTH1].ravel() @ model.w1 + model.b1, 0) for i in range(0, quality.CHUNK - quality.WIDTH1 + 1, quality.STRIDE1)]
+        h2 = [np.concatenate(h1[i : i + quality.WIDTH2]) @ model.w2 + model.b2 for i in range(0, len(h1) - quality.WIDTH2 + 1, quality.STRIDE2)]
+        tops.append(np.maximum(np.max(h2, 0), 0))
+    z = np.concatenate((np.mean(tops, 0), np.max(tops, 0))) @ model.w3 + model.b3
+    return 1 / (1 + np.exp(-float(z)))
+
+
+def test_quality_matches_plain_scores(spark):
+    docs = table(spark, SF, "documents")
+    model = quality._start(0.4)
+    text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    some = sorted(quality.score(docs, model).collect(), key=lambda r: r["doc_id"])[:25]
+    assert all(r["score"] == pytest.approx(plain_quality(model, text[r["doc_id"]]), abs=1e-4) for r in some)
+
+
 def test_chunks_cover_whole_texts():
     for n in (0, 1, 1023, 1024, 1025, 1920, 1921, 5000):
         x, counts = quality.chunks(["x" * n])
