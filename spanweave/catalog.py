@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .functions import exprs as X
+from .functions.grammar import connectivity_probability
 from .operators import chain, joins, pairs, sets, stats, sweep, topk
 from .plans import filtering
 from .schema import FilterConfig
@@ -111,17 +112,23 @@ def _(s, d):
     return sweep.sweep(mappings(s, d), ["query", "target"], "query", None).select(*_ID)
 
 
-@_query("greedy_non_overlapping")
+_STAYS = f"SELECT {', '.join('o.' + c for c in _IDS.split(', '))} FROM o JOIN f ON o.\"rank\" = f.\"rank\" WHERE f.stays"
+
+
+@_query("greedy_non_overlapping", f"{sweep.greedy_sql('mappings', ['query'], ('query',), 0.0, _SCORE)} {_STAYS}")
 def _(s, d):
     return sweep.greedy_non_overlapping(mappings(s, d), ["query"]).select(*_ID)
 
 
-@_query("greedy_dual_axis")
+@_query("greedy_dual_axis", f"{sweep.greedy_sql('mappings', ['target', 'strand'], ('target', 'query'), 0.5, _SCORE)} {_STAYS}")
 def _(s, d):
     return sweep.greedy_non_overlapping(mappings(s, d), ["target", "strand"], ("target", "query"), 0.5).select(*_ID)
 
 
-@_query("sweep_at_starts")
+_STARTS = sweep.starts_sql("mappings", ["query", "target"], "query", 1, _SCORE)
+
+
+@_query("sweep_at_starts", f"{sweep.greedy_sql(_STARTS, ['query', 'target'], ('query',), 0.5, _SCORE)} {_STAYS}")
 def _(s, d):
     return sweep.sweep_at_starts(mappings(s, d), ["query", "target"], "query", 1, 0.5).select(*_ID)
 
@@ -282,7 +289,14 @@ def _(s, d):
     return chain.merge_close(mappings(s, d))
 
 
-@_query("best_buddy_chains")
+#: The chain table of ``member``, in SQL.
+_CHAINS = """chain AS MATERIALIZED (SELECT *, query_end - query_start AS span, CASE WHEN width > 0 THEN sum_matches / width ELSE 0 END AS identity, min(first_rank) OVER (PARTITION BY query, target, strand) AS pair_rank FROM (
+    SELECT *, sum_block + CASE WHEN query_end - query_start > sum_block THEN greatest(0, ln(query_end - query_start - sum_block)) ELSE 0 END AS width FROM (
+    SELECT query, target, strand, chain_start, chain_root, min(query_start) AS query_start, max(query_end) AS query_end, min(target_start) AS target_start, max(target_end) AS target_end,
+      sum(matches)::BIGINT AS sum_matches, sum(block_length)::BIGINT AS sum_block, count(*) AS members, min("rank") AS first_rank FROM member GROUP BY ALL)))"""
+
+
+@_query("best_buddy_chains", f"{chain.buddies_sql('mappings', CHAIN_GAP)}, {_CHAINS} SELECT * EXCLUDE (width) REPLACE (round(identity, 6) AS identity) FROM chain")
 def _(s, d):
     return _r(filtering.ordered_chains(chain.chain_members(mappings(s, d), CHAIN_GAP)), "identity")
 
@@ -412,11 +426,6 @@ def _(s, d):
     return stats.best_until_covered(mappings(s, d), 90, "length").select(*_ID)
 
 
-@_query("ani_orthogonal")
-def _(s, d):
-    return _r(filtering.survey(mappings(s, d), "orthogonal"), "ani")
-
-
 @_query("sequence_sizes", f"SELECT * FROM {_SIZES}")
 def _(s, d):
     return stats.sequence_sizes(mappings(s, d))
@@ -452,8 +461,8 @@ def _(s, d):
     return stats.coverage_bins(mappings(s, d))
 
 
-@_query("missing_homologs", f"""WITH n AS (SELECT DISTINCT {_G('name')} AS g, split_part(name, '#', 3) AS c FROM {_SIZES}) SELECT a.g AS genome_a, b.g AS genome_b, a.c AS chromosome FROM n a JOIN n b ON a.c = b.c AND a.g <> b.g
-  WHERE NOT EXISTS (SELECT 1 FROM mappings m WHERE m.query = a.g || a.c AND m.target = b.g || a.c)""".replace("WITH n AS", ", n AS"))
+@_query("missing_homologs", f"""n AS (SELECT DISTINCT {_G('name')} AS g, split_part(name, '#', 3) AS c FROM {_SIZES}) SELECT a.g AS genome_a, b.g AS genome_b, a.c AS chromosome FROM n a JOIN n b ON a.c = b.c AND a.g <> b.g
+  WHERE NOT EXISTS (SELECT 1 FROM mappings m WHERE m.query = a.g || a.c AND m.target = b.g || a.c)""")
 def _(s, d):
     return stats.missing_homologs(mappings(s, d))
 
@@ -482,14 +491,15 @@ def _(s, d):
     return _r(stats.group_sizes(mappings(s, d), ["query", "target"]), "mean")
 
 
-@_query("tree_filter", f"""{', ' if True else ''}p AS (SELECT a, b, identity FROM {_PAIRS.format('mappings')}), e AS (SELECT a AS i, b AS j, identity FROM p UNION ALL SELECT b, a, identity FROM p),
+@_query("tree_filter", f"""p AS (SELECT a, b, identity FROM {_PAIRS.format('mappings')}), e AS (SELECT a AS i, b AS j, identity FROM p UNION ALL SELECT b, a, identity FROM p),
   k AS (SELECT i, j FROM e QUALIFY row_number() OVER (PARTITION BY i ORDER BY identity DESC, j) <= 1 UNION SELECT i, j FROM e QUALIFY row_number() OVER (PARTITION BY i ORDER BY identity, j) <= 1)
   SELECT {_IDS} FROM mappings WHERE (least({_G('query')}, {_G('target')}), greatest({_G('query')}, {_G('target')})) IN (SELECT (least(i, j), greatest(i, j)) FROM k)""")
 def _(s, d):
     return filtering.tree_filter(mappings(s, d), 1, 1).select(*_ID)
 
 
-@_query("giant_filter")
+@_query("giant_filter", f"""p AS (SELECT a AS i, b AS j FROM {_PAIRS.format('mappings')}), k AS (SELECT i, j FROM p WHERE ('0x' || substr(md5(concat_ws('|', '0', i, j)), 1, 8))::BIGINT % 1000000 < {int(connectivity_probability(5, 0.9) * 1_000_000)})
+  SELECT {_IDS} FROM mappings WHERE {_G('query')} <> {_G('target')} AND (least({_G('query')}, {_G('target')}), greatest({_G('query')}, {_G('target')})) IN (SELECT (i, j) FROM k)""")
 def _(s, d):
     return filtering.giant_filter(mappings(s, d), 0.9).select(*_ID)
 
@@ -570,7 +580,10 @@ def _(s, d):
     return pairs.joblist(names, pairs.tree_pairs(dist, 2))
 
 
-@_query("random_pairs")
+_HASH = "('0x' || substr(md5(concat_ws('|', '0', i, j)), 1, 8))::BIGINT % 1000000"
+
+
+@_query("random_pairs", f"SELECT i, j FROM (SELECT a.n_name AS i, b.n_name AS j FROM nation a JOIN nation b ON a.n_name < b.n_name) WHERE {_HASH} < 300000")
 def _(s, d):
     return pairs.random_pairs(joins.all_pairs(_table(s, d, "nation"), "n_name").select(F.col("a").alias("i"), F.col("b").alias("j")), 0.3)
 
@@ -620,11 +633,46 @@ def _(s, d):
 
 
 # the whole plan
-@_query("full_scaffold_pipeline")
+def _plan(cfg: FilterConfig, score: str) -> str:
+    """Tables that end in ``result`` (rows with ord and status): :func:`filtering.filter_mappings` in SQL, without limits of None."""
+    d2 = "((m.query_start + m.query_end) // 2 - (a.query_start + a.query_end) // 2) ** 2 + ((m.target_start + m.target_end) // 2 - (a.target_start + a.target_end) // 2) ** 2"
+    base = f"(SELECT *, {_G('query')} AS g, {_G('target')} AS h FROM mappings WHERE block_length >= {cfg.min_block_length} AND query <> target)"
+    both = f"(SELECT * FROM {sweep.sweep_sql('base', _QKEYS, 'query', cfg.query_limit, cfg.overlap, score)} WHERE \"rank\" IN (SELECT \"rank\" FROM {sweep.sweep_sql('base', _TKEYS, 'target', cfg.target_limit, cfg.overlap, score)}))"
+    pair, place = ["query", "target"], "pair_rank, chain_start, chain_root"
+    long = f"(SELECT *, row_number() OVER (ORDER BY {place}) AS \"rank\" FROM chain WHERE span >= {cfg.min_scaffold_length} AND identity >= {cfg.min_scaffold_identity})"
+    first = sweep.sweep_sql("long", pair, "query", cfg.scaffold_query_limit, cfg.scaffold_overlap, score)
+    kept = sweep.sweep_sql(first, pair, "target", cfg.scaffold_target_limit, cfg.scaffold_overlap, score)
+    on = " AND ".join(f"m.{c} = c.{c}" for c in chain.CHAIN)
+    gap, near = cfg.scaffold_gap, cfg.rescue_distance
+    rescued = f"""SELECT "rank", ord, 'rescued' AS status FROM (SELECT m."rank", a.ord, row_number() OVER (PARTITION BY m."rank" ORDER BY floor(sqrt({d2})), a."rank") AS n FROM base m
+      JOIN (SELECT base.*, anchor.ord FROM base JOIN anchor USING ("rank")) a ON m.query = a.query AND m.target = a.target AND {d2} < {(near + 1) ** 2}
+      WHERE m."rank" NOT IN (SELECT "rank" FROM anchor) AND m."rank" NOT IN (SELECT "rank" FROM before)) WHERE n = 1"""
+    return f"""base AS MATERIALIZED {base}, swept AS MATERIALIZED {both}, {chain.buddies_sql('swept', gap)}, {_CHAINS}, long AS MATERIALIZED {long},
+  kept AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY {place}) AS ord FROM {kept}),
+  before AS (SELECT m."rank" FROM member m JOIN long c ON {on}), own AS MATERIALIZED (SELECT m."rank", c.ord FROM member m JOIN kept c ON {on}),
+  turned AS (SELECT m."rank", min(c.ord) AS ord FROM base m JOIN kept c ON m.query = c.query AND m.target = c.target AND c.strand = '+' AND m.strand = '-' AND m.query_end >= c.query_start - {gap} AND m.query_start <= c.query_end + {gap}
+    AND floor(abs((m.target_start + m.target_end) // 2 - (m.query_start + m.query_end) // 2 - (c.target_start - c.query_start)) / sqrt(2)) <= {gap} WHERE m."rank" NOT IN (SELECT "rank" FROM own) GROUP BY m."rank"),
+  anchor AS MATERIALIZED ({'SELECT * FROM own' if cfg.scaffolds_only else 'SELECT * FROM own UNION ALL SELECT * FROM turned'}),
+  result AS MATERIALIZED (SELECT "rank", ord, 'scaffold' AS status FROM anchor {'' if cfg.scaffolds_only or not near else f'UNION ALL {rescued}'})"""
+
+
+_RESULT = f"SELECT {_IDS}, 'chain_' || ord AS chain_id, status AS chain_status FROM result JOIN mappings USING (\"rank\")"
+_ONLY = PIPELINE.but(scaffolds_only=True)
+
+
+@_query("full_scaffold_pipeline", f"{_plan(PIPELINE, _SCORE)} {_RESULT}")
 def _(s, d):
     return filtering.filter_mappings(mappings(s, d), PIPELINE).select(*_ID, "chain_id", "chain_status")
 
 
-@_query("scaffolds_only")
+@_query("scaffolds_only", f"{_plan(_ONLY, _SCORE)} {_RESULT}")
 def _(s, d):
-    return filtering.filter_mappings(mappings(s, d), PIPELINE.but(scaffolds_only=True)).select(*_ID, "chain_id", "chain_status")
+    return filtering.filter_mappings(mappings(s, d), _ONLY).select(*_ID, "chain_id", "chain_status")
+
+
+_MATCHES = "CASE WHEN query_end > query_start AND identity > 0 THEN round((query_end - query_start) * identity, 9) ELSE '-inf'::DOUBLE END"
+
+
+@_query("ani_orthogonal", f"{_plan(filtering.ORTHOGONAL, _MATCHES)}, kept_rows AS (SELECT * FROM mappings WHERE \"rank\" IN (SELECT \"rank\" FROM result)) SELECT round(coalesce(median(identity), 0), 6) AS ani, count(*) AS pairs FROM {_PAIRS.format('kept_rows')}")
+def _(s, d):
+    return _r(filtering.survey(mappings(s, d), "orthogonal"), "ani")

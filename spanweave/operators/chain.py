@@ -255,3 +255,26 @@ def chain_transitive(df: DataFrame, gap: int) -> DataFrame:
     rows = df.select("*", F.lit(0).cast("long").alias("chain_start"), F.lit(0).cast("long").alias("chain_root"))
     dealt = rows.repartition(*PAIR).sortWithinPartitions(*PAIR, "query_start", "rank")
     return dealt.mapInArrow(_gap_unions(gap), dealt.schema)
+
+
+def buddies_sql(relation: str, gap: int) -> str:
+    """Tables that end in ``member`` (rows with chain_start and chain_root): best-buddy chains, one mapping of every pair and strand a round. For checks.
+
+    Each round a mapping takes the nearest successor for which it is nearer than the predecessor held so far; of the links
+    left, each chain is a path, named by its first mapping.
+    """
+    far = lambda x: f"CASE WHEN {x} >= 0 THEN {x} WHEN -({x}) <= {gap // 5} THEN -({x}) ELSE {gap + 1} END"
+    key, on = "query, target, strand", "o.query = f.query AND o.target = f.target AND o.strand = f.strand"
+    big = 1 << 60
+    return f"""bo AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY query_start, "rank") AS n, count(*) OVER (PARTITION BY {key}) AS size FROM {relation}),
+  bd AS (SELECT a."rank" AS x, b.n AS j, {far('b.query_start - a.query_end')} AS q, {far("CASE WHEN a.strand = '+' THEN b.target_start - a.target_end ELSE a.target_start - b.target_end END")} AS t
+    FROM bo a JOIN bo b ON a.query = b.query AND a.target = b.target AND a.strand = b.strand AND a.n < b.n AND b.query_start <= a.query_end + {gap}),
+  bc AS MATERIALIZED (SELECT x, list(struct_pack(far := q * q + t * t, j := j) ORDER BY q * q + t * t, j) AS near FROM bd WHERE q <= {gap} AND t <= {gap} GROUP BY x),
+  br AS MATERIALIZED (SELECT o.*, bc.near FROM bo o LEFT JOIN bc ON bc.x = o."rank"),
+  bf AS (SELECT {key}, 0::BIGINT AS n, size, list_transform(range(size), lambda z: {big}::BIGINT) AS held, list_transform(range(size), lambda z: 0::BIGINT) AS up FROM br WHERE n = 1
+    UNION ALL SELECT query, target, strand, n, size, list_transform(held, lambda z, k: CASE WHEN k = pick.j THEN pick.far ELSE z END) AS held, list_transform(up, lambda z, k: CASE WHEN k = pick.j THEN n ELSE z END) AS up
+    FROM (SELECT o.query, o.target, o.strand, o.n, o.size, f.held, f.up, list_filter(o.near, lambda c: c.far < f.held[c.j])[1] AS pick FROM bf f JOIN br o ON {on} AND o.n = f.n + 1)),
+  bl AS MATERIALIZED (SELECT {key}, unnest(up) AS a, unnest(range(1, size + 1)) AS b FROM bf WHERE n = size),
+  bp AS (SELECT {key}, b AS n, b AS head FROM bl WHERE a = 0 UNION ALL SELECT l.query, l.target, l.strand, l.b, p.head FROM bp p JOIN bl l ON l.query = p.query AND l.target = p.target AND l.strand = p.strand AND l.a = p.n),
+  member AS MATERIALIZED (SELECT o.* EXCLUDE (n, size), h.query_start AS chain_start, h."rank" AS chain_root FROM bo o JOIN bp p ON p.query = o.query AND p.target = o.target AND p.strand = o.strand AND p.n = o.n
+    JOIN bo h ON h.query = o.query AND h.target = o.target AND h.strand = o.strand AND h.n = p.head)"""

@@ -122,8 +122,9 @@ def nearest(vectors: DataFrame, k: int, farthest: bool = False, block: int = BLO
 
 
 def random_pairs(pairs: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
-    """The pairs (i, j) whose seeded hash falls into a fraction of its range: the same ones each time."""
-    return pairs.filter(F.pmod(F.xxhash64(F.lit(seed), "i", "j"), F.lit(1_000_000)) < int(fraction * 1_000_000))
+    """The pairs (i, j) whose seeded hash falls into a fraction of its range: the same ones each time, in any engine that has md5."""
+    number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("i").cast("string"), F.col("j").cast("string"))), 1, 8), 16, 10).cast("long")
+    return pairs.filter(number % 1_000_000 < int(fraction * 1_000_000))
 
 
 def canonical(pairs: DataFrame) -> DataFrame:

@@ -258,6 +258,27 @@ def sweep_sql(relation: str, keys: list[str], axis: str, k: int, limit: float, s
   SELECT * EXCLUDE (sc, gn) FROM m WHERE gn = 1 OR ("rank" IN (SELECT "rank" FROM good) AND "rank" NOT IN (SELECT "rank" FROM bad)))"""
 
 
+def greedy_sql(relation: str, keys: list[str], axes: tuple[str, ...], limit: float, score: str) -> str:
+    """Tables o and f: best first, the rows of each group that overlap no kept one on all axes by more than ``limit``, one row of every group a round. For checks."""
+    key = ", ".join(keys)
+    spans = ", ".join(f"{a[0]}s := o.{a}_start, {a[0]}e := o.{a}_end" for a in axes)
+    over = " AND ".join(f"least(k.{a[0]}e - k.{a[0]}s, o.{a}_end - o.{a}_start) > 0 AND least(k.{a[0]}e, o.{a}_end) - greatest(k.{a[0]}s, o.{a}_start) > {limit} * least(k.{a[0]}e - k.{a[0]}s, o.{a}_end - o.{a}_start)" for a in axes)
+    hit = f"len(list_filter(f.kept, lambda k: {over})) > 0"
+    on = " AND ".join(f"o.{k} = f.{k}" for k in keys)
+    return f"""o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {score} DESC, {axes[0]}_start, "rank") AS n FROM {relation}),
+  f AS (SELECT {', '.join(f'o.{k}' for k in keys)}, n, "rank", true AS stays, [struct_pack({spans})] AS kept FROM o WHERE n = 1
+    UNION ALL SELECT {', '.join(f'o.{k}' for k in keys)}, o.n, o."rank", NOT ({hit}) AS stays, CASE WHEN {hit} THEN f.kept ELSE list_append(f.kept, struct_pack({spans})) END AS kept FROM f JOIN o ON {on} AND o.n = f.n + 1)"""
+
+
+def starts_sql(relation: str, keys: list[str], axis: str, k: int, score: str) -> str:
+    """The rows of a relation that are among the k best where some row of their group begins, or alone in it."""
+    s, e, key = f"{axis}_start", f"{axis}_end", ", ".join(keys)
+    on = " AND ".join(f"m.{c} = p.{c}" for c in keys)
+    return f"""(WITH p AS (SELECT DISTINCT {key}, {s} AS pos FROM {relation} WHERE {e} > {s}),
+  a AS (SELECT m."rank", row_number() OVER (PARTITION BY {', '.join(f'm.{c}' for c in keys)}, p.pos ORDER BY {score} DESC, {s}, "rank") AS rn FROM p JOIN {relation} m ON {on} AND m.{s} <= p.pos AND p.pos < m.{e})
+  SELECT * FROM {relation} WHERE "rank" IN (SELECT "rank" FROM a WHERE rn <= {k}))"""
+
+
 def best(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first n rows of each group in ``order``."""
     return df.withColumn("_nth", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("_nth") <= n).drop("_nth")
