@@ -52,10 +52,11 @@ def cigar_identity(cigar: Column) -> Column:
     return F.when(every > 0, same / every)
 
 
-def tags_map(fields: Column) -> Column:
-    """``tag:type:value`` strings as a map of tag to value; the last of a tag holds."""
+def tags_map(fields: Column, part: str = "value") -> Column:
+    """``tag:type:value`` strings as a map of tag to value (or ``type``); the last of a tag holds."""
     good = F.filter(fields, lambda x: F.rlike(x, F.lit("^[^:]*:[^:]*:")))
-    pairs = F.transform(good, lambda x: F.struct(F.substring_index(x, ":", 1).alias("k"), F.regexp_extract(x, r"(?s)^[^:]*:[^:]*:(.*)$", 1).alias("v")))
+    of = r"(?s)^[^:]*:[^:]*:(.*)$" if part == "value" else r"^[^:]*:([^:]*):"
+    pairs = F.transform(good, lambda x: F.struct(F.substring_index(x, ":", 1).alias("k"), F.regexp_extract(x, of, 1).alias("v")))
     return F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["k"]), F.create_map(x["k"], x["v"])))
 
 

@@ -8,8 +8,12 @@ from ..functions.exprs import prefix_last
 
 
 def genome_identities(df: DataFrame, key=prefix_last) -> DataFrame:
-    """(a, b, matches, block_length, identity) for pairs a < b of genomes; rows within a genome don't count."""
-    rows = df.select(key(F.col("query")).alias("g"), key(F.col("target")).alias("h"), "matches", "block_length").filter("g <> h")
+    """(a, b, matches, block_length, identity) for pairs a < b of genomes; rows within a genome don't count.
+
+    Rows that were read from a file count the matches of its own column, or what a divergence tag says (``survey_matches``).
+    """
+    matches = F.col("survey_matches" if "survey_matches" in df.columns else "matches")
+    rows = df.select(key(F.col("query")).alias("g"), key(F.col("target")).alias("h"), matches.alias("matches"), "block_length").filter("g <> h")
     sums = rows.groupBy(F.least("g", "h").alias("a"), F.greatest("g", "h").alias("b")).agg(F.sum("matches").alias("matches"), F.sum("block_length").alias("block_length"))
     return sums.withColumn("identity", F.when(F.col("block_length") > 0, F.col("matches") / F.col("block_length")).otherwise(F.lit(0.0)))
 
@@ -51,15 +55,16 @@ def ani_percentile(df: DataFrame, percent: float, order: str = "identity") -> Da
 
 
 def totals(df: DataFrame) -> DataFrame:
-    """One row of counts and sums over all mappings."""
+    """One row of counts and sums over all mappings; matches are those of the file's own column where there is one."""
+    matches = F.col("raw_matches" if "raw_matches" in df.columns else "matches")
     span = F.col("query_end") - F.col("query_start")
     same = F.col("query") == F.col("target")
     genome = prefix_last(F.col("query")) == prefix_last(F.col("target"))
     return df.agg(
-        F.count("*").alias("mappings"), F.coalesce(F.sum(span), F.lit(0)).alias("bases"), F.coalesce(F.sum("matches"), F.lit(0)).alias("matches"),
+        F.count("*").alias("mappings"), F.coalesce(F.sum(span), F.lit(0)).alias("bases"), F.coalesce(F.sum(matches), F.lit(0)).alias("matches"),
         F.count_if(same).alias("self_mappings"), F.count_if(~same & genome).alias("between_chromosomes"), F.count_if(~genome & ~same).alias("between_genomes"),
         F.count_distinct(F.struct("query", "target")).alias("chromosome_pairs"),
-        F.coalesce(F.sum("matches") / F.nullif(F.sum(span), F.lit(0)), F.lit(0.0)).alias("identity"))
+        F.coalesce(F.sum(matches) / F.nullif(F.sum(span), F.lit(0)), F.lit(0.0)).alias("identity"))
 
 
 def genome_coverage(df: DataFrame, key=prefix_last) -> DataFrame:

@@ -26,9 +26,9 @@ def mapping_line(identity_tag: str = "id:f:", mapq: int = 60, digits: int = 6) -
 
 
 def record_line() -> Column:
-    """A text record of a strict row, with cg and the other tags in order of name."""
+    """A text record of a strict row, with cg and the other tags in order of name, each with its type."""
     cols = ["query", "query_len", "query_start", "query_end", "strand", "target", "target_len", "target_start", "target_end", "matches", "block_length", "mapq"]
-    rest = F.transform(F.array_sort(F.map_entries(F.map_filter("tags", lambda k, _: k != "cg"))), lambda e: F.concat(e["key"], F.lit(":Z:"), e["value"]))
+    rest = F.transform(F.array_sort(F.map_entries(F.map_filter("tags", lambda k, _: k != "cg"))), lambda e: F.concat(e["key"], F.lit(":"), F.coalesce(F.col("tag_types")[e["key"]], F.lit("Z")), F.lit(":"), e["value"]))
     return F.concat_ws("\t", *(F.col(c).cast("string") for c in cols), F.when(F.col("cigar").isNotNull(), F.concat(F.lit("cg:Z:"), "cigar")), rest)
 
 

@@ -129,3 +129,46 @@ def test_sets_commands_and_coverage(spark):
     assert cmd == "align a_b.fa c_d.fa > a_b_vs_c_d.paf"
     assert stats.genome_coverage(a).first()["coverage"] == pytest.approx(100 * 15 / 10**6)
     assert stats.missing_homologs(a).count() == 1
+
+
+def test_surveys_read_the_files_own_matches(spark, tmp_path):
+    text = "\n".join([line("A#1#x", 0, 100, "B#1#x", 0, 100, 90, 100, "dv:f:0.5"), line("A#1#y", 0, 100, "C#1#x", 0, 100, 90, 100, "cg:Z:50=50X"), line("B#1#y", 0, 100, "C#1#y", 0, 100, 80, 100, "dv:f:bad\tdv:f:0.25\tdv:f:0.9")]) + "\n"
+    df = readers.read_mappings(spark, put(tmp_path, text))
+    assert {(r["a"], r["b"]): round(r["identity"], 6) for r in stats.genome_identities(df).collect()} == {("A#1#", "B#1#"): 0.5, ("A#1#", "C#1#"): 0.9, ("B#1#", "C#1#"): 0.75}
+    assert stats.totals(df).first()["matches"] == 260
+
+
+def test_block_gzip(spark, tmp_path):
+    rows = [line("a", k, k + 10, "b", 0, 10, 9, 10) + "\n" for k in range(50)]
+    with open(tmp_path / "x.paf.bgz", "wb") as f:
+        for k in range(0, 50, 7):  # a row of gzip members
+            f.write(gzip.compress("".join(rows[k : k + 7]).encode()))
+    got = readers.read_any(spark, str(tmp_path / "x.paf.bgz")).orderBy("rank").collect()
+    assert [(r["rank"], r["query_start"]) for r in got] == [(k, k) for k in range(50)]
+
+
+def test_lines_are_numbered_in_order_of_files_and_blocks(spark, tmp_path):
+    for name, n in (("b.txt", 3000), ("a.txt", 700), ("c.txt", 1)):
+        put(tmp_path, "".join(f"{name} {k} {'x' * (k % 50)}\n" for k in range(n)), name)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "10")
+        got = readers.numbered_lines(spark, str(tmp_path)).orderBy("rank").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [r["rank"] for r in got] == list(range(3701))
+    assert [r["line"].rsplit(" ", 1)[0] for r in got] == [f"{f} {k}" for f, n in (("a.txt", 700), ("b.txt", 3000), ("c.txt", 1)) for k in range(n)]
+
+
+def test_records_keep_tag_types(spark, tmp_path):
+    text = line("a", 0, 10, "b", 0, 10, 9, 10, "NM:i:1\tcg:Z:10M\tx:f:0.5")
+    r = readers.read_mappings(spark, put(tmp_path, text + "\n"), strict=True).select(writers.record_line().alias("l")).first()["l"]
+    assert r.split("\t")[12:] == ["cg:Z:10M", "NM:i:1", "x:f:0.5"]
+
+
+def test_sniffing_and_headers(spark, tmp_path):
+    assert readers.sniff(spark, put(tmp_path, "# c\n" * 80 + "\n" + line("a", 0, 10, "b", 0, 10, 9, 10) + "\n", "long.txt")) == "mappings"
+    fa = readers.read_fasta(spark, put(tmp_path, ">A a > b\nAC\nGT\n>B x>y\nG\n", "h.fa"))
+    assert {(r["name"], r["sequence"]) for r in fa.collect()} == {("A", "ACGT"), ("B", "G")}
