@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from bisect import insort
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -130,7 +131,7 @@ def _alone(group: np.ndarray, continued: bool, more: bool = False) -> np.ndarray
     return out
 
 
-def _swept(keys: list[str], start: str, end: str, flag: str, k: int, limit: float, rule=mark):
+def _swept(keys: list[str], start: str, end: str, flag: str, k: int, limit: float, rule: Kernel | Callable):
     def work(t: pa.Table, group: np.ndarray, island: np.ndarray, continued: bool) -> pa.Table:
         s, e = (t.column(c).to_numpy().astype(np.int64) for c in (start, end))
         kept = (e > s) | _alone(group, continued)
@@ -144,6 +145,131 @@ def _swept(keys: list[str], start: str, end: str, flag: str, k: int, limit: floa
     return stream(keys, start, end, work)
 
 
+class _Sweep:
+    """One group's sweep with what is active as its only state. :func:`mark` is the same over a whole group.
+
+    An entry is [-score, start, rank, end, row, good, bad, came]; ``done`` gets (row, kept) of each as its end passes.
+    """
+
+    def __init__(self, k: int, limit: float):
+        self.k, self.limit = k, limit
+        self.active: list[list] = []  # in order of score, start, rank
+        self.ends: list[tuple] = []  # heap of (end, rank, entry)
+        self.top: list[list] = []
+        self.came: list[list] = []
+        self.at, self.rows, self.lone = None, 0, None
+
+    def look(self) -> None:
+        """Judge what is active at the position at hand, once all that ends or starts there is known."""
+        active, k, came, top = self.active, self.k, self.came, self.top
+        now = active[:k]
+        new = [i for i in now if i not in top]
+        for i in new:
+            i[5] = True
+        if self.limit < 1 and len(active) > k and (new or came):
+            # what wasn't compared before: all below with new tops, and what came with the old tops
+            for j in active[k:] if new else came:
+                if j[6] or not new and j in now:
+                    continue
+                for i in now if j[7] or j in top else new:
+                    if (min(i[3], j[3]) - max(i[1], j[1])) / min(i[3] - i[1], j[3] - j[1]) > self.limit:
+                        j[6] = True
+                        break
+        for j in came:
+            j[7] = False
+        self.top, self.came = now, []
+
+    def leave(self, p: int, done: list[tuple[int, bool]]) -> None:
+        """Take out what ends at ``p``."""
+        while self.ends and self.ends[0][0] == p:
+            entry = heappop(self.ends)[2]
+            del self.active[bisect_left(self.active, entry)]
+            done.append((entry[4], entry[5] and not entry[6]))
+
+    def advance(self, p: int | None, done: list[tuple[int, bool]]) -> None:
+        """Go on to a later position, or to the end of the group (None), by way of the ends before it."""
+        if self.at is not None:
+            self.look()
+        while self.ends and (p is None or self.ends[0][0] < p):
+            self.leave(self.ends[0][0], done)
+            self.look()
+        if p is not None:
+            self.leave(p, done)
+        self.at = p
+
+    def add(self, start: int, end: int, score: float, rank: int, row: int, done: list[tuple[int, bool]]) -> None:
+        self.rows += 1
+        if self.rows == 2 and self.lone is not None:
+            done.append((self.lone, False))
+            self.lone = None
+        if end <= start:  # active nowhere; kept if alone in its group
+            if self.rows == 1:
+                self.lone = row
+            else:
+                done.append((row, False))
+            return
+        if start != self.at:
+            self.advance(start, done)
+        entry = [-score, start, rank, end, row, False, False, True]
+        insort(self.active, entry)
+        heappush(self.ends, (end, rank, entry))
+        self.came.append(entry)
+
+    def finish(self, done: list[tuple[int, bool]]) -> None:
+        self.advance(None, done)
+        if self.lone is not None:
+            done.append((self.lone, True))
+
+    def move(self, place: list[int]) -> None:
+        """Rows have new numbers."""
+        for entry in self.active:
+            entry[4] = place[entry[4]]
+        if self.lone is not None:
+            self.lone = place[self.lone]
+
+
+def _flagged(keys: list[str], start: str, end: str, flag: str, k: int, limit: float):
+    """A function for ``mapInArrow`` over rows sorted by keys, start and rank: sets ``flag`` and hands a row on once its end has passed. Memory holds a batch and what is active."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last, sweep = None, None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            before = 0 if held is None else held.num_rows
+            first = _changes(b, keys)
+            first[0] = tuple(b.column(c)[0].as_py() for c in keys) != last
+            last = tuple(b.column(c)[b.num_rows - 1].as_py() for c in keys)
+            done: list[tuple[int, bool]] = []
+            cols = (b.column(c).to_numpy(zero_copy_only=False).tolist() for c in (start, end, "_score", "rank"))
+            for row, (new, s, e, score, rank) in enumerate(zip(first.tolist(), *cols, strict=True), before):
+                if new:
+                    if sweep is not None:
+                        sweep.finish(done)
+                    sweep = _Sweep(k, limit)
+                sweep.add(s, e, score, rank, row, done)
+            held = t if held is None else pa.concat_tables([held, t])
+            held = yield from _handed(held, done, sweep, flag)
+        if sweep is not None:
+            done = []
+            sweep.finish(done)
+            yield from _handed(held, done, sweep, flag)
+
+    return run
+
+
+def _handed(t: pa.Table, done: list[tuple[int, bool]], sweep: _Sweep, flag: str):
+    """Hand on the rows that are done, with their flag; the others are left, with new numbers."""
+    ready, kept = np.zeros(t.num_rows, bool), np.zeros(t.num_rows, bool)
+    if done:
+        rows, flags = zip(*done, strict=True)
+        ready[list(rows)], kept[list(rows)] = True, flags
+        yield from t.set_column(t.column_names.index(flag), flag, pa.array(kept)).filter(pa.array(ready)).to_batches()
+    sweep.move((np.cumsum(~ready) - 1).tolist())
+    return t.filter(pa.array(~ready)).combine_chunks()
+
+
 def flag_axis(df: DataFrame, keys: list[str], axis: str, k: int | None, limit: float, flag: str, scoring: Scoring | str = Scoring.LOG_LENGTH_IDENTITY) -> DataFrame:
     """``df`` with a boolean ``flag``: whether the sweep on ``axis`` (query or target) within ``keys`` keeps the row.
 
@@ -157,7 +283,7 @@ def flag_axis(df: DataFrame, keys: list[str], axis: str, k: int | None, limit: f
     ship(df.sparkSession)
     rows = df.select("*", score_of(scoring).alias("_score"), F.lit(False).alias(flag))
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys, start, "rank")
-    return dealt.mapInArrow(_swept(keys, start, end, flag, k, limit), dealt.schema).drop("_score")
+    return dealt.mapInArrow(_flagged(keys, start, end, flag, k, limit), dealt.schema).drop("_score")
 
 
 def sweep(df: DataFrame, keys: list[str], axis: str = "query", k: int | None = 1, limit: float = 0.95, scoring: Scoring | str = Scoring.LOG_LENGTH_IDENTITY) -> DataFrame:

@@ -111,3 +111,46 @@ def test_marks_at_starts():
     s, e = np.array([0, 50, 200, 210]), np.array([100, 150, 300, 260])
     assert sweep.mark_at_starts(s, e, np.array([3.0, 2.0, 1.0, 5.0]), np.arange(4), 1, 0.3).tolist() == [True, False, False, True]
     assert sweep.mark_at_starts(s, e, np.array([3.0, 2.0, 1.0, 5.0]), np.arange(4), 2, 1.0).tolist() == [True] * 4
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_streamed_sweep_matches_the_rule(seed):
+    """Any cut of the rows into batches gives the rule's flags, group by group."""
+    import pyarrow as pa
+
+    g = random.Random(seed)
+    rows, want = [], {}
+    for group in range(6):
+        n = g.randint(1, 30)
+        own = sorted([(x := g.randint(0, 40), x + g.randint(-1, 12), g.choice([1.0, 2.0, 3.0]), 100 * group + r) for r in range(n)], key=lambda r: (r[0], r[3]))
+        k, limit = seed % 3 + 1, [0.0, 0.3, 0.5, 0.95, 1.0][seed % 5]
+        flags = brute([r[0] for r in own], [r[1] for r in own], [r[2] for r in own], [r[3] for r in own], k, limit)
+        want |= {r[3]: f or n == 1 for r, f in zip(own, flags)}
+        rows += [("g", group, *r) for r in own]
+    t = pa.table({c: [r[i] for r in rows] for i, c in enumerate(("a", "b", "s", "e", "_score", "rank"))}).append_column("kept", pa.array([False] * len(rows)))
+    at = 0
+    batches = []
+    while at < len(rows):
+        size = g.randint(1, 9)
+        batches += t.slice(at, size).combine_chunks().to_batches()
+        at += size
+    got = {r["rank"]: r["kept"] for b in sweep._flagged(["a", "b"], "s", "e", "kept", k, limit)(iter(batches)) for r in b.to_pylist()}
+    assert got == want
+
+
+def test_one_long_island_is_held_only_where_it_is_active():
+    import pyarrow as pa
+
+    n = 20_000  # each overlaps the next ones: one island
+    t = pa.table({"q": ["x"] * n, "s": list(range(0, 10 * n, 10)), "e": list(range(35, 10 * n + 35, 10)), "_score": [float(k % 7) for k in range(n)], "rank": list(range(n)), "kept": [False] * n})
+    most, out = 0, 0
+
+    def watched():
+        nonlocal most
+        for k, b in enumerate(t.to_batches(max_chunksize=100)):
+            most = max(most, 100 * k - out)
+            yield b
+
+    for b in sweep._flagged(["q"], "s", "e", "kept", 1, 0.5)(watched()):
+        out += b.num_rows
+    assert out == n and most < 10
