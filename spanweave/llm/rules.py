@@ -22,6 +22,8 @@ FLOOR = 0.005
 CORE, OUTLIER = (3, 4), 1e-5
 #: A concentration step goes on if the logarithm of the determinant falls by more.
 STILL = 1e-6
+#: Languages' sources up to which tables with four rows for each are broadcast; with more they are joined by shuffles.
+FEW = 25_000
 #: Bins of ln(1 + squared distance) per unit.
 BINS = 200
 _N = "_q"
@@ -137,7 +139,7 @@ def _middle(values: DataFrame, by: list[str], of: str) -> DataFrame:
     return upto.filter("2 * upto >= `all`").groupBy(*by).agg(F.min(of).alias("mid"))
 
 
-def _starts(rows: DataFrame) -> DataFrame:
+def _starts(rows: DataFrame, few: bool) -> DataFrame:
     """Four deterministic starts (pool, start, _m*, _c*) for each pool: medians, and as scatter, in units of the median
     absolute deviations, no correlation; products of hyperbolic tangents; products of directions; products of the half of
     the rows that lies nearest."""
@@ -149,10 +151,10 @@ def _starts(rows: DataFrame) -> DataFrame:
     pick = lambda k, c: F.min(F.when(F.col("f") == k, F.col(c))).cast("double")
     at = wide.groupBy("pool").agg(*(pick(i, "mid").alias(f"_m{i}") for i in range(P)), *(F.greatest(1.4826 * pick(i, "mad"), F.lit(FLOOR * UNIT)).alias(f"_s{i}") for i in range(P)))
     at = written(at, "rules-scales")
-    z = rows.join(small(at), "pool").select("pool", *(((F.col(f"{_N}{i}") - F.col(f"_m{i}")) / F.col(f"_s{i}")).alias(f"z{i}") for i in range(P)))
+    z = rows.join(_sent(at, few), "pool").select("pool", *(((F.col(f"{_N}{i}") - F.col(f"_m{i}")) / F.col(f"_s{i}")).alias(f"z{i}") for i in range(P)))
     z = z.withColumn("norm", sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, P)), F.col("z0") * F.col("z0")))
     half = _middle(z.groupBy("pool", _bin(F.col("norm")).alias("b")).agg(F.count("*").alias("n")), ["pool"], "b").withColumnRenamed("mid", "edge")
-    z = z.join(small(written(half, "rules-halves")), "pool")
+    z = z.join(_sent(half, few), "pool")
     exact = lambda c: F.sum(F.round(1e6 * c).cast("long"))
     product = lambda i, j: F.col(f"z{i}") * F.col(f"z{j}")
     near = _bin(F.col("norm")) <= F.col("edge")
@@ -169,40 +171,44 @@ def _starts(rows: DataFrame) -> DataFrame:
     return out.select("pool", "start", *_PARAMS, F.lit(float("inf")).alias("det"))
 
 
-def _edges(rows: DataFrame, params: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _sent(table: DataFrame, few: bool) -> DataFrame:
+    """A table with a row for each pool (and start), to be broadcast if its pools were counted to be few."""
+    return F.broadcast(table) if few else table
+
+
+def _edges(rows: DataFrame, params: DataFrame, few: bool) -> tuple[DataFrame, DataFrame]:
     """``rows`` with the bin _b of their distance by each start of ``params``, and the last bin _edge of the core of each pool and start.
 
     "Nearest" is read off counts of bins: no rows are sorted, and a hot pool is summed by many tasks, as the tables with
     a row per pool and start are small enough to broadcast (a shuffled join otherwise).
     """
-    far = rows.join(small(params), "pool").withColumn("_b", _bin(_distance()))
+    far = rows.join(_sent(params, few), "pool").withColumn("_b", _bin(_distance()))
     of = W.partitionBy("pool", "start")
     bins = far.groupBy("pool", "start", "_b").agg(F.count("*").alias("n"))
     upto = bins.withColumn("upto", F.sum("n").over(of.orderBy("_b"))).withColumn("all", F.sum("n").over(of))
     return far, written(upto.filter(f"{CORE[1]} * upto >= {CORE[0]} * `all`").groupBy("pool", "start").agg(F.min("_b").alias("_edge")), "rules-edge")
 
 
-def _step(rows: DataFrame, params: DataFrame) -> DataFrame:
+def _step(rows: DataFrame, params: DataFrame, few: bool) -> DataFrame:
     """One concentration step: mean and covariance, with its determinant, of the rows of each pool and start that lie nearest by ``params``."""
-    far, edge = _edges(rows, params)
-    core = far.join(small(edge), ["pool", "start"]).filter("_b <= _edge")
+    far, edge = _edges(rows, params, few)
+    core = far.join(_sent(edge, few), ["pool", "start"]).filter("_b <= _edge")
     sums = core.groupBy("pool", "start").agg(F.count("*").alias("n"), *(F.sum(f"{_N}{i}").alias(f"s{i}") for i in range(P)), *(F.sum(F.col(f"{_N}{i}") * F.col(f"{_N}{j}")).alias(f"p{i}{j}") for i, j in _PAIRS))
     out = sums.select("pool", "start", "n", *((F.col(f"s{i}") / F.col("n")).alias(f"_m{i}") for i in range(P)), *(f"p{i}{j}" for i, j in _PAIRS))
     return _factor(out, lambda i, j: F.col(f"p{i}{j}") / F.col("n") - F.col(f"_m{i}") * F.col(f"_m{j}")).select("pool", "start", *_PARAMS, "det")
 
 
-def estimates(rows: DataFrame) -> DataFrame:
+def estimates(rows: DataFrame, few: bool = True) -> DataFrame:
     """(pool, _m*, _c*, _scale): the estimate with the least determinant of each pool, from rows (pool, features).
 
     Each start is followed by concentration steps for as long as the determinant falls. ``_scale`` makes squared
-    distances chi-square ones at the edge of the core.
+    distances chi-square ones at the edge of the core. ``few``: whether tables with a row for each pool and start may be broadcast.
     """
-    now = written(_starts(rows), "rules-start")
+    now = written(_starts(rows, few), "rules-start")
     done = None
     while True:
-        step = written(_step(rows, now), "rules-step")
         old = now.select("pool", "start", F.col("det").alias("old"))
-        fell = written(step.join(old, ["pool", "start"]).filter(F.col("det") < F.col("old") - STILL).drop("old"), "rules-fell")
+        fell = written(_step(rows, now, few).join(old, ["pool", "start"]).filter(F.col("det") < F.col("old") - STILL).drop("old"), "rules-step")
         still = now.join(fell.select("pool", "start"), ["pool", "start"], "left_anti")
         done = still if done is None else done.unionByName(still)
         if not fell.limit(1).count():
@@ -211,7 +217,7 @@ def estimates(rows: DataFrame) -> DataFrame:
     best = done.groupBy("pool").agg(F.min_by(F.struct("start", *_PARAMS), F.struct("det", "start")).alias("x")).select("pool", "x.*")
     best = written(best, "rules-best")
     scale = F.greatest(F.lit(1.0), F.expm1((F.col("_edge") + 0.5) / BINS) / CHI_CORE)
-    return written(best.join(_edges(rows, best)[1], ["pool", "start"]).select("pool", *_PARAMS, scale.alias("_scale")), "rules-estimates")
+    return written(best.join(_edges(rows, best, few)[1], ["pool", "start"]).select("pool", *_PARAMS, scale.alias("_scale")), "rules-estimates")
 
 
 def _counted(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
@@ -230,14 +236,16 @@ def featured(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def fit(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pools, estimates) from rows with base counts and _lang, _source; see :func:`judge`."""
     pools, good = featured(rows)
-    return pools.withColumnsRenamed({"lang": "_lang", "source": "_source"}), estimates(good)
+    few = pools.count() <= FEW
+    named = pools.withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    return _sent(named, few), _sent(estimates(good, few), few)
 
 
 def verdicts(rows: DataFrame, fitted: tuple[DataFrame, DataFrame]) -> DataFrame:
     """``rows`` with base counts, with ``distance`` and ``kept``."""
     pools, params = fitted
     own = [c for c in rows.columns if c not in ("distance", "kept")]
-    out = rows.join(small(pools), ["_lang", "_source"], "left").join(small(params), "pool", "left").withColumns(_features())
+    out = rows.join(pools, ["_lang", "_source"], "left").join(params, "pool", "left").withColumns(_features())
     out = out.withColumn("_far", F.when(~F.col("base_failed"), F.round(_distance() / F.col("_scale"), 3)))
     return out.select(*own, F.col("_far").alias("distance"), (~F.col("base_failed") & F.coalesce(F.col("_far") <= CUT, F.lit(True))).alias("kept"))
 
