@@ -17,8 +17,8 @@ from .tokenize import vocabulary, words
 #: Context sizes, shortest first; a window of the longest is the padded size.
 TIERS = (256, 512, 1024, 2048)
 END = 1
-#: Documents packed together, and tokens of a step group.
-BIN_DOCS, STEP_TOKENS = 1024, 1 << 16
+#: Documents packed together, tokens of a step group, and tokens that are in memory at once beside those of one document.
+BIN_DOCS, STEP_TOKENS, RUN_TOKENS = 1024, 1 << 16, 1 << 23
 
 
 def pack(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[tuple[int, list[tuple[int, int, int]]]]:
@@ -72,10 +72,10 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def _bins(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = words(path)
-        now, flushed, sequences, groups, held = None, 0, 0, 0, []
+        now, size, sequences, groups, held = None, 0, 0, 0, []
 
         def flush() -> pa.RecordBatch:
-            nonlocal sequences, groups
+            nonlocal size, sequences, groups
             made = pack([len(t) for _, t in held])
             steps, rows = step_groups(made), []
             for k, ((tier, pieces), g) in enumerate(zip(made, steps, strict=True)):
@@ -86,16 +86,18 @@ def _bins(path: str):
                     offset += n
             sequences, groups = sequences + len(made), groups + max(steps) + 1
             held.clear()
+            size = 0
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _OUT, strict=True)], schema=_OUT)
 
         for batch in batches:
             ids = coder.encode(batch.column("text").to_pylist())
             for b, doc_id, t in zip(batch.column("bin").to_pylist(), batch.column("doc_id").to_pylist(), ids, strict=True):
-                if held and (b != now or len(held) >= 4 * BIN_DOCS):
+                if held and (b != now or len(held) >= 4 * BIN_DOCS or size >= RUN_TOKENS):
                     yield flush()
                 if b != now:
                     now, sequences, groups = b, 0, 0
                 held.append((doc_id, np.append(t, np.uint16(END))))
+                size += len(t) + 1
         if held:
             yield flush()
 
@@ -105,16 +107,18 @@ def _bins(path: str):
 def pack_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", seed: int = 7) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group.
 
-    Documents are dealt by a hash of their id to bins of about BIN_DOCS, whose number follows the row count; a bin is
+    Documents are dealt by a hash of their id and text to bins of about BIN_DOCS, whose number follows the row count; a bin is
     tokenized, packed (:func:`pack`) and balanced (:func:`step_groups`) by one task, and pads one window at most. A bin
-    with many more rows, as from repeated ids, is packed in runs of 4 * BIN_DOCS.
+    with many more rows, as from repeated rows, or with very long texts is packed in runs of 4 * BIN_DOCS documents or
+    RUN_TOKENS tokens, each of which pads one window.
 
     Null or empty text: the end id alone. Null and repeated ids are documents of their own. The result doesn't depend on
     the partitioning of ``docs``. An empty table gives no rows. Other columns are ignored.
     """
     small_batches(docs.sparkSession)
     bins = max(1, -(-docs.count() // BIN_DOCS))
-    rows = docs.select(F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(bins)).cast("long").alias("bin"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), text), F.lit(bins)).cast("long").alias("bin"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     dealt = rows.repartition("bin").sortWithinPartitions("bin", "doc_id", F.length("text"), "text")
     return dealt.mapInArrow(_bins(path or vocabulary()), SCHEMA)
 

@@ -53,9 +53,14 @@ def shard(docs: DataFrame, n_shards: int = 16, seed: int = 20240607, id_col: str
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Write ``docs`` as one folder per shard, rows in slot order; ids must be unique."""
-    place = placed.select(F.col("doc_id").alias(id_col), "shard", "slot")
-    docs.join(place, id_col).repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write ``docs`` as one folder per shard, rows in slot order over the files of a shard; ids must be unique (one may be null).
+
+    Rows are dealt by ranges of shard and slot, so a shard is written by as many tasks as its size asks for. A column
+    named shard or slot is replaced.
+    """
+    place = placed.select(F.col("doc_id").alias("_placed"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
+    rows = docs.join(place, F.col(id_col).eqNullSafe(F.col("_placed"))).drop("shard", "slot", "_placed").withColumnsRenamed({"_shard": "shard", "_slot": "slot"})
+    rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,6 +92,38 @@ def test_shards(spark):
     assert {tuple(r) for r in again} == {tuple(r) for r in rows}
 
 
+def test_shards_match_plain_ranks(spark):
+    """Every row's place from ranks of one sorted list for each source and one of all rows."""
+    import struct
+
+    import xxhash
+
+    seed = xxhash.xxh64_intdigest(struct.pack("<i", 20240607), seed=42)
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    docs = [(r["doc_id"], r["source"]) for r in table(spark, SF, "documents").collect()]
+    by = defaultdict(list)
+    for i, s in docs:
+        by[s].append((xxhash.xxh64_intdigest(struct.pack("<q", i), seed=seed), i))
+    line = []
+    for s, own in by.items():
+        u = (signed(xxhash.xxh64_intdigest(s.encode(), seed=seed)) % 1_000_003 + 0.5) / 1_000_003
+        line += [((k + u) / len(own), s, signed(h), i) for k, (h, i) in enumerate(sorted(own))]
+    want, first = {}, {}
+    for place, (_, _, _, i) in enumerate(sorted(line)):
+        k = place * 16 // len(docs)
+        want[i] = k, place - first.setdefault(k, place)
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in shard.query(spark, SF).collect()} == want
+
+
+def test_write_shards(spark, tmp_path):
+    docs = table(spark, SF, "documents").unionByName(spark.createDataFrame([(None, "x", "en", "src0", 1)], DOCS))
+    placed = shard.shard(docs)
+    shard.write_shards(docs, placed, str(tmp_path / "shards"))
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    key = lambda r: (r["doc_id"] or -1, r["shard"], r["slot"])
+    assert sorted(map(key, back.collect())) == sorted(map(key, placed.collect())) and back.filter("doc_id is null").count() == 1
+
+
 def test_shards_odd(odd, none):
     rows = shard.shard(odd).collect()
     law(rows, len(ODD))
@@ -162,6 +194,60 @@ def concentrated(x, m, c, floor):
     return core.mean(0), cov, np.linalg.slogdet(cov)[1]
 
 
+def plain_features(docs):
+    """{id: features} and {id: pool} of the rows (id, text, lang, source) that pass the base rules, text by text."""
+    import math
+
+    import regex
+
+    marks, upper = regex.compile(r"[^\p{L}\p{M}\p{N}\x20\x09-\x0D]"), regex.compile(r"\p{Lu}")
+    good = {}
+    for i, t, la, s in docs:
+        n, chars, _, _, _, failed = counts(t)
+        if not failed:
+            good[i] = la or "", s or "", n, chars, len(marks.findall(t)), len(upper.findall(t)), len(set(re.findall(r"[^\x20\x09-\x0D]+", t)))
+    size = Counter((g[0], g[1]) for g in good.values())
+    small = Counter()
+    for (la, _), n in size.items():
+        small[la] += n if n < rules.MIN_ROWS else 0
+    pool = {i: (g[0], g[1]) if size[g[0], g[1]] >= rules.MIN_ROWS else g[0] if small[g[0]] >= rules.MIN_ROWS else None for i, g in good.items()}
+    half = lambda x: int(math.floor(x + 0.5)) if x >= 0 else -int(math.floor(0.5 - x))  # noqa: E731  round half away from zero
+    out = {}
+    for p in set(pool.values()):
+        own = [(i, good[i]) for i in good if pool[i] == p]
+        if len(own) < rules.MIN_ROWS:
+            continue
+        words = sum(g[2] for _, g in own)
+        rate = [sum(g[k] for _, g in own) / words for k in (3, 4, 5)]
+        x, y = (np.array([half(100 * math.log(g[k])) for _, g in own], float) for k in (2, 6))
+        power = ((x * y).mean() - x.mean() * y.mean()) / ((x * x).mean() - x.mean() ** 2)
+        for i, g in own:
+            shares = [math.log((g[k] + rules.PRIOR * r + more) / (g[2] + rules.PRIOR)) for k, r, more in ((3, rate[0], 0.0), (4, rate[1], 0.5), (5, rate[2], 0.5))]
+            out[i] = [half(rules.UNIT * v) for v in (*shares, math.log(g[6]) - power * math.log(g[2]))]
+    return out, pool
+
+
+def plain_verdicts(docs):
+    """{id: whether the row stays, None where its distance is at the cut} by plain code alone."""
+    features, pool = plain_features(docs)
+    out = {i: False for i, *_ in docs} | {i: True for i in pool}
+    for p in {pool[i] for i in features}:
+        ids = [i for i in features if pool[i] == p]
+        x = np.array([features[i] for i in ids], float)
+        m, c, _, _ = plain_mcd(x)
+        d, _, edge = core_of(x, m, c)
+        d = d / max(1.0, np.expm1((edge + 0.5) / rules.BINS) / rules.CHI_CORE)
+        out |= {i: None if abs(far - rules.CUT) < 0.5 else bool(far <= rules.CUT) for i, far in zip(ids, d)}
+    return out
+
+
+def test_rules_match_plain_code(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    want = plain_verdicts([(r["doc_id"], r["text"] or "", r["lang"], r["source"]) for r in docs.collect()])
+    got = {r["doc_id"]: r["kept"] for r in rules.judge(docs).collect()}
+    assert got.keys() == want.keys() and all(want[i] is None or want[i] == k for i, k in got.items()) and sum(x is None for x in want.values()) < 10
+
+
 def test_rules_match_plain_mcd(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     counted = written(rules._counted(docs, "text", "lang", "source"), "test-counts")

@@ -1,12 +1,12 @@
 """The pipeline against a plain version of each stage on that stage's own input."""
 
 import corpus_pipeline
-from spanweave.llm import quality, rules
+from spanweave.llm import quality
 from spanweave.llm.common import table, written
 
-from .test_native import counts
+from .test_native import counts, plain_verdicts
 from .test_neardup import brute
-from .test_texts import pieces_hold
+from .test_texts import pieces_hold, plain_quality
 
 SF = "/root/testdata/sf0.01"
 
@@ -26,14 +26,12 @@ def test_stages(spark):
         after = {r["doc_id"]: r for r in out.collect()}
         assert out.columns == columns and len(after) == out.count() and all(before[i] == r for i, r in after.items()), name
         if name == "quality rules":
-            assert not any(counts(r["text"])[5] for r in after.values())
-            assert after.keys() == {r["doc_id"] for r in rules.judge(docs).collect() if r["kept"]}
+            want = plain_verdicts([(i, r["text"] or "", r["lang"], r["source"]) for i, r in before.items()])
+            assert all(want[i] is None or want[i] == (i in after) for i in before)
         elif name == "quality classifier":
             model = quality.fit(table(spark, SF, "documents"), table(spark, SF, "labels"))
-            ids = sorted(before)
-            p = model.probabilities([before[i]["text"] for i in ids])
-            sure = {i for i, x in zip(ids, p) if x >= 0.31}
-            assert sure <= after.keys() and len(after) - len(sure) <= 3
+            p = {i: plain_quality(model, r["text"]) for i, r in before.items() if len(r["text"]) < 20_000}
+            assert len(p) > 0.9 * len(before) and all(abs(x - 0.3) < 1e-3 or (x >= 0.3) == (i in after) for i, x in p.items())
         elif name == "near-duplicates":
             from spanweave.llm.neardup import Rule
 
