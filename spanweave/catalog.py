@@ -133,6 +133,12 @@ def _(s, d):
     return sweep.sweep_at_starts(mappings(s, d), ["query", "target"], "query", 1, 0.5).select(*_ID)
 
 
+@_query("replace_worse", f"""{sweep.replace_sql('mappings', ['query'], 'query', 0.5, _SCORE)}, x AS (SELECT unnest(kept).r AS r FROM f WHERE n = size)
+  SELECT {_IDS} FROM mappings WHERE "rank" IN (SELECT r FROM x)""")
+def _(s, d):
+    return sweep.replace_worse(mappings(s, d), ["query"], "query", 0.5).select(*_ID)
+
+
 # ranked selections
 _TOP = f"row_number() OVER (PARTITION BY {{}} ORDER BY {_SCORE} DESC, \"rank\")"
 
@@ -289,6 +295,21 @@ def _(s, d):
     return chain.merge_close(mappings(s, d))
 
 
+_FIT = f"""o AS MATERIALIZED ({_NTH.format(keys='query, target', order='target_start, query_start, "rank"')}),
+  f AS (SELECT query, target, n, "rank", "rank" AS root, [struct_pack(te := target_start + block_length, qe := query_start + block_length, st := strand, r := "rank")] AS chains FROM o WHERE n = 1
+    UNION ALL SELECT query, target, n, "rank", CASE WHEN pos > 0 THEN chains[pos].r ELSE "rank" END AS root,
+      CASE WHEN pos > 0 THEN list_transform(chains, lambda c, i: CASE WHEN i = pos THEN struct_pack(te := te, qe := qe, st := c.st, r := c.r) ELSE c END) ELSE list_append(chains, struct_pack(te := te, qe := qe, st := strand, r := "rank")) END AS chains
+    FROM (SELECT o.*, o.target_start + o.block_length AS te, o.query_start + o.block_length AS qe, f.chains,
+      coalesce(list_position(list_transform(f.chains, lambda c: c.st = o.strand AND o.target_start - c.te <= 500 AND o.query_start - c.qe <= 500), true), 0) AS pos FROM f JOIN o ON o.query = f.query AND o.target = f.target AND o.n = f.n + 1)),
+  x AS (SELECT o.*, f.root FROM o JOIN f ON o."rank" = f."rank"),
+  y AS (SELECT query, target, root, arg_max(target_start + block_length, n) - arg_min(target_start, n) AS length FROM x GROUP BY query, target, root)"""
+
+
+@_query("first_fit_scaffolds", f"""{_FIT} SELECT x."rank", x.query, x.target, x.root AS chain_root, CASE WHEN y.length >= 2000 THEN 'scaffold' ELSE 'rescued' END AS chain_status FROM x JOIN y ON x.query = y.query AND x.target = y.target AND x.root = y.root""")
+def _(s, d):
+    return chain.first_fit_scaffolds(mappings(s, d), 500, 2000)
+
+
 #: The chain table of ``member``, in SQL.
 _CHAINS = """chain AS MATERIALIZED (SELECT *, query_end - query_start AS span, CASE WHEN width > 0 THEN sum_matches / width ELSE 0 END AS identity, min(first_rank) OVER (PARTITION BY query, target, strand) AS pair_rank FROM (
     SELECT *, sum_block + CASE WHEN query_end - query_start > sum_block THEN greatest(0, ln(query_end - query_start - sum_block)) ELSE 0 END AS width FROM (

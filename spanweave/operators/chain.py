@@ -257,6 +257,47 @@ def chain_transitive(df: DataFrame, gap: int) -> DataFrame:
     return dealt.mapInArrow(_gap_unions(gap), dealt.schema)
 
 
+def _first_fit(gap: int):
+    """A function for ``mapInArrow`` over rows sorted by pair, target start and query start: ``chain_root`` is the rank of the first row of the first open chain that a row fits."""
+
+    def run(batches):
+        last, chains = None, []  # (target end, query end, strand, root) of each chain's last row, in order of their first rows
+        for b in batches:
+            cols = (b.column(c).to_pylist() for c in ("query", "target", "strand", "query_start", "target_start", "block_length", "rank"))
+            out = []
+            for q, t, strand, qs, ts, n, rank in zip(*cols, strict=True):
+                if (q, t) != last:
+                    last, chains = (q, t), []
+                chains = [c for c in chains if ts - c[0] <= gap]  # what is too far behind stays so
+                k = next((k for k, c in enumerate(chains) if c[2] == strand and qs - c[1] <= gap), None)
+                root = rank if k is None else chains[k][3]
+                now = (ts + n, qs + n, strand, root)
+                if k is None:
+                    chains.append(now)
+                else:
+                    chains[k] = now
+                out.append(root)
+            yield b.set_column(b.schema.get_field_index("chain_root"), "chain_root", pa.array(out, pa.int64()))
+
+    return run
+
+
+def first_fit_scaffolds(df: DataFrame, gap: int, min_length: int) -> DataFrame:
+    """(rank, query, target, chain_root, chain_status): every mapping of a pair, by target start and query start, joins the first chain of
+    its strand whose last row lies within ``gap`` before it on both axes; chains of ``min_length`` on the target are scaffolds, rows of others rescued.
+
+    Ends are starts and block lengths; the length of a chain leads from its first row's start to its last row's end.
+    """
+    ship(df.sparkSession)
+    rows = df.select("rank", "query", "target", "strand", "query_start", "target_start", "block_length", F.lit(0).cast("long").alias("chain_root"))
+    dealt = rows.repartition("query", "target").sortWithinPartitions("query", "target", "target_start", "query_start", "rank")
+    found = dealt.mapInArrow(_first_fit(gap), dealt.schema)
+    keys, order = ["query", "target", "chain_root"], F.struct("target_start", "query_start", "rank")
+    length = (F.max_by(end_from_block(F.col("target_start"), F.col("block_length")), order) - F.min_by("target_start", order)).alias("length")
+    long = found.groupBy(*keys).agg(length)
+    return found.join(long, keys).select("rank", *keys, F.when(F.col("length") >= min_length, "scaffold").otherwise("rescued").alias("chain_status"))
+
+
 def buddies_sql(relation: str, gap: int) -> str:
     """Tables that end in ``member`` (rows with chain_start and chain_root): best-buddy chains, one mapping of every pair and strand a round. For checks.
 

@@ -384,6 +384,77 @@ def sweep_sql(relation: str, keys: list[str], axis: str, k: int, limit: float, s
   SELECT * EXCLUDE (sc, gn) FROM m WHERE gn = 1 OR ("rank" IN (SELECT "rank" FROM good) AND "rank" NOT IN (SELECT "rank" FROM bad)))"""
 
 
+def _replacing(keys: list[str], start: str, end: str, flag: str, limit: float):
+    """A function for ``mapInArrow``: of rows sorted by keys and start, each takes the place of those before it that it overlaps by more than ``limit``, unless one of them scores higher."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last, kept = None, None, _Kept()
+        for b in batches:
+            if not b.num_rows:
+                continue
+            before = 0 if held is None else held.num_rows
+            first = _changes(b, keys)
+            first[0] = tuple(b.column(c)[0].as_py() for c in keys) != last
+            last = tuple(b.column(c)[b.num_rows - 1].as_py() for c in keys)
+            done: list[tuple[int, bool]] = []
+            cols = (b.column(c).to_numpy(zero_copy_only=False).tolist() for c in (start, end, "_score"))
+            for row, (new, s, e, score) in enumerate(zip(first.tolist(), *cols, strict=True), before):
+                if new:
+                    kept.settle(None, done)
+                kept.settle(s, done)
+                hits = [x for x in kept.rows if min(e, x[1]) > max(s, x[0]) and min(e, x[1]) - max(s, x[0]) > limit * min(e - s, x[1] - x[0])]
+                lost = [x for x in hits if not x[2] > score]
+                done += [(x[3], False) for x in lost]
+                kept.rows = [x for x in kept.rows if x not in lost]
+                if len(lost) < len(hits):
+                    done.append((row, False))
+                else:
+                    kept.rows.append((s, e, score, row))
+            t = pa.Table.from_batches([b])
+            held = yield from _handed(t if held is None else pa.concat_tables([held, t]), done, kept, flag)
+        if held is not None:
+            done = []
+            kept.settle(None, done)
+            yield from _handed(held, done, kept, flag)
+
+    return run
+
+
+class _Kept:
+    """Rows (start, end, score, row) that are kept so far and that a later row may still overlap."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple] = []
+
+    def settle(self, p: int | None, done: list[tuple[int, bool]]) -> None:
+        """What ends by ``p`` (None: all) is kept for good."""
+        done += [(x[3], True) for x in self.rows if p is None or x[1] <= p]
+        self.rows = [x for x in self.rows if p is not None and x[1] > p]
+
+    def move(self, place: list[int]) -> None:
+        self.rows = [(*x[:3], place[x[3]]) for x in self.rows]
+
+
+def replace_worse(df: DataFrame, keys: list[str], axis: str = "query", limit: float = 0.5, scoring: Scoring | str = Scoring.LOG_LENGTH_IDENTITY) -> DataFrame:
+    """A variant for chains: in order of start, a row replaces the kept ones that it overlaps by more than ``limit``, but for those that score higher, any one of which drops the row."""
+    ship(df.sparkSession)
+    rows = df.select("*", score_of(scoring).alias("_score"), F.lit(False).alias("_kept"))
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, f"{axis}_start", "rank")
+    return dealt.mapInArrow(_replacing(keys, f"{axis}_start", f"{axis}_end", "_kept", limit), dealt.schema).filter("_kept").drop("_kept", "_score")
+
+
+def replace_sql(relation: str, keys: list[str], axis: str, limit: float, score: str) -> str:
+    """Tables o and f: what is kept after each row of a group, one row of every group a round. For checks."""
+    key, s, e = ", ".join(keys), f"{axis}_start", f"{axis}_end"
+    hit = f"least(k.e, o.{e}) > greatest(k.s, o.{s}) AND least(k.e, o.{e}) - greatest(k.s, o.{s}) > {limit} * least(k.e - k.s, o.{e} - o.{s})"
+    one = f"struct_pack(s := o.{s}, e := o.{e}, sc := o.sc, r := o.\"rank\")"
+    on = " AND ".join(f"o.{k} = f.{k}" for k in keys)
+    return f"""o AS MATERIALIZED (SELECT *, {score} AS sc, row_number() OVER (PARTITION BY {key} ORDER BY {s}, "rank") AS n, count(*) OVER (PARTITION BY {key}) AS size FROM {relation}),
+  f AS (SELECT {', '.join(f'o.{k}' for k in keys)}, n, size, [{one}] AS kept FROM o WHERE n = 1
+    UNION ALL SELECT {', '.join(f'o.{k}' for k in keys)}, o.n, o.size, list_concat(list_filter(f.kept, lambda k: NOT ({hit}) OR k.sc > o.sc), CASE WHEN len(list_filter(f.kept, lambda k: {hit} AND k.sc > o.sc)) = 0 THEN [{one}] ELSE [] END) AS kept
+    FROM f JOIN o ON {on} AND o.n = f.n + 1)"""
+
+
 def greedy_sql(relation: str, keys: list[str], axes: tuple[str, ...], limit: float, score: str) -> str:
     """Tables o and f: best first, the rows of each group that overlap no kept one on all axes by more than ``limit``, one row of every group a round. For checks."""
     key = ", ".join(keys)
