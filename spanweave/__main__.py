@@ -1,4 +1,4 @@
-"""Command line: ``python -m spanweave filter IN OUT [options]`` and ``python -m spanweave stats FILE [FILE2] [-d]``."""
+"""Command line: ``python -m spanweave filter IN OUT``, ``stats FILE [FILE2]``, ``pairs FASTA OUT``, ``jobs FASTA OUT`` and ``batches FASTA OUT``; see ``--help`` of each."""
 
 from __future__ import annotations
 
@@ -7,14 +7,15 @@ import sys
 
 from pyspark.sql import SparkSession, functions as F
 
-from .functions.grammar import ani_method, identity_threshold, metric_number, selection
+from .functions.grammar import ani_method, batch_bases, identity_threshold, metric_number, selection
 from .operators import stats
+from .operators.pairs import batches_by_bases, joblist
 from .plans import filtering
-from .plans.align import config_from_options
+from .plans.align import config_from_options, haplotype_pairs, pair_list, pairs_for
 from .schema import Scoring
 from .session import ship
-from .sources.readers import mean_length, numbered_lines, parse_lenient, read_any
-from .sources.writers import write_annotated
+from .sources.readers import genome_sizes, mean_length, numbered_lines, parse_lenient, read_any, read_fasta, read_pairs, sequence_lengths
+from .sources.writers import group_commands, write_annotated, write_batches, write_pairs
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -44,9 +45,51 @@ def _parser() -> argparse.ArgumentParser:
     s.add_argument("file")
     s.add_argument("other", nargs="?")
     s.add_argument("-d", "--detailed", action="store_true")
+    p = sub.add_parser("pairs", help="pairs of sequences to align, as a tab-separated list")
+    p.add_argument("fasta")
+    p.add_argument("target")
+    p.add_argument("--sparsify", default="none")
+    p.add_argument("--list", help="read these pairs instead of choosing some")
+    p.add_argument("--haplotypes", action="store_true", help="choose pairs of haplotypes, then all pairs of their contigs")
+    p.add_argument("--shuffle-seed", type=int)
+    p.add_argument("--start", type=int, default=0)
+    p.add_argument("--max", type=int)
+    p.add_argument("--done", help="a list of pairs to leave out")
+    p.add_argument("--append", action="store_true")
+    j = sub.add_parser("jobs", help="command lines, one for each pair of haplotypes")
+    j.add_argument("fasta")
+    j.add_argument("target")
+    j.add_argument("--sparsify", default="none")
+    j.add_argument("--template", default="align {query}.fa {target}.fa > {out}.paf")
+    b = sub.add_parser("batches", help="genomes in batches of a size or a disk budget, as FASTA folders")
+    b.add_argument("fasta")
+    b.add_argument("target")
+    b.add_argument("--bases", type=metric_number)
+    b.add_argument("--disk", type=metric_number, help="bytes that the files of a batch may take")
     return top
 
 
+def _pairs(spark: SparkSession, a: argparse.Namespace) -> None:
+    if a.list:
+        found = read_pairs(spark, a.list)
+    else:
+        chosen = (haplotype_pairs if a.haplotypes else pairs_for)(read_fasta(spark, a.fasta), a.sparsify)
+        found = chosen.select(F.col("i").alias("query"), F.col("j").alias("target"))
+    write_pairs(pair_list(found, a.shuffle_seed, a.start, a.max, read_pairs(spark, a.done) if a.done else None), a.target, a.append)
+
+
+def _jobs(spark: SparkSession, a: argparse.Namespace) -> None:
+    sequences = read_fasta(spark, a.fasta)
+    group_commands(joblist(sequences.select("name"), pairs_for(sequences, a.sparsify)), a.template).orderBy("query", "target").select(F.col("command").alias("value")).write.text(a.target)
+
+
+def _batches(spark: SparkSession, a: argparse.Namespace) -> None:
+    if (a.bases is None) == (a.disk is None):
+        raise SystemExit("give --bases or --disk")
+    sequences = read_fasta(spark, a.fasta)
+    write_batches(sequences, batches_by_bases(genome_sizes(sequence_lengths(sequences)), a.bases or batch_bases(a.disk)), a.target)
+
+
 def _filter(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.no_filter:
         filtering.filter_text(spark, a.source, a.target, passthrough=True)
@@ -89,7 +132,7 @@ def main(args: list[str] | None = None) -> int:
         if not value.lower().startswith("ani"):
             identity_threshold(value)
     spark = ship(SparkSession.builder.appName("spanweave").getOrCreate())
-    (_filter if a.command == "filter" else _stats)(spark, a)
+    {"filter": _filter, "stats": _stats, "pairs": _pairs, "jobs": _jobs, "batches": _batches}[a.command](spark, a)
     return 0
 
 

@@ -158,6 +158,11 @@ def _(s, d):
     return topk.longest_then_limit(mappings(s, d), 3).select(*_ID)
 
 
+@_query("best_query_limit_target", f"SELECT {_IDS} FROM (SELECT * FROM mappings QUALIFY {_TOP.format('query')} = 1) QUALIFY {_TOP.format('target')} <= 2")
+def _(s, d):
+    return topk.best_query_limit_target(mappings(s, d), 2).select(*_ID)
+
+
 @_query("many_to_many", f"SELECT {_IDS} FROM (SELECT * FROM mappings QUALIFY {_TOP.format('query')} <= 5) QUALIFY {_TOP.format('target')} <= 3")
 def _(s, d):
     return topk.limit_both(mappings(s, d), 5, 3).select(*_ID)
@@ -482,22 +487,21 @@ def _(s, d):
     return stats.coverage_bins(mappings(s, d))
 
 
-@_query("missing_homologs", f"""n AS (SELECT DISTINCT {_G('name')} AS g, split_part(name, '#', 3) AS c FROM {_SIZES}) SELECT a.g AS genome_a, b.g AS genome_b, a.c AS chromosome FROM n a JOIN n b ON a.c = b.c AND a.g <> b.g
-  WHERE NOT EXISTS (SELECT 1 FROM mappings m WHERE m.query = a.g || a.c AND m.target = b.g || a.c)""")
+@_query("missing_homologs", f"""long AS (SELECT * FROM mappings WHERE block_length > 2080), n AS (SELECT DISTINCT {_G('name')} AS g, split_part(name, '#', 3) AS c FROM {_SIZES.replace('mappings', 'long')}) SELECT a.g AS genome_a, b.g AS genome_b, a.c AS chromosome FROM n a JOIN n b ON a.c = b.c AND a.g <> b.g
+  WHERE NOT EXISTS (SELECT 1 FROM long m WHERE m.query = a.g || a.c AND m.target = b.g || a.c)""")
 def _(s, d):
-    return stats.missing_homologs(mappings(s, d))
+    return stats.missing_homologs(mappings(s, d).filter("block_length > 2080"))
 
 
-_LONG = ["mappings", "bases", "matches"]
+_MEASURES = {"mappings": "count(*)", "bases": "sum(query_end - query_start)", "matches": "sum(matches)", "self_mappings": "count_if(query = target)", "between_chromosomes": f"count_if(query <> target AND {_G('query')} = {_G('target')})",
+             "between_genomes": f"count_if({_G('query')} <> {_G('target')})", "chromosome_pairs": "count(DISTINCT query || ' ' || target)", "identity": "round(sum(matches) / sum(query_end - query_start)::DOUBLE, 6)"}
+_MEASURED = " UNION ALL ".join(f"SELECT '{k}' AS measure, (SELECT {v} FROM mappings)::DOUBLE AS bv, (SELECT {v} FROM mappings WHERE identity >= 0.95)::DOUBLE AS av" for k, v in _MEASURES.items())
 
 
-@_query("compare", """SELECT measure, bv AS before, av AS after, av - bv AS difference, round(CASE WHEN bv <> 0 THEN 100 * (av - bv) / bv ELSE 0 END, 6) AS percent FROM (
-  SELECT 'mappings' AS measure, (SELECT count(*) FROM mappings)::DOUBLE AS bv, (SELECT count(*) FROM mappings WHERE identity >= 0.95)::DOUBLE AS av
-  UNION ALL SELECT 'bases', (SELECT sum(query_end - query_start) FROM mappings)::DOUBLE, (SELECT sum(query_end - query_start) FROM mappings WHERE identity >= 0.95)::DOUBLE
-  UNION ALL SELECT 'matches', (SELECT sum(matches) FROM mappings)::DOUBLE, (SELECT sum(matches) FROM mappings WHERE identity >= 0.95)::DOUBLE)""")
+@_query("compare", f"SELECT measure, bv AS before, av AS after, round(av - bv, 5) AS difference, round(CASE WHEN bv <> 0 THEN 100 * (av - bv) / bv ELSE 0 END, 2) AS percent FROM ({_MEASURED})")
 def _(s, d):
     m = mappings(s, d)
-    return _r(stats.compare(m, m.filter("identity >= 0.95")), "percent").filter(F.col("measure").isin(_LONG))
+    return _r(_r(_r(stats.compare(m, m.filter("identity >= 0.95")), "before", "after"), "difference", digits=5), "percent", digits=2)
 
 
 @_query("filter_summary", """SELECT count(*) AS rows, count_if(identity >= 0.95)::BIGINT AS kept, round(100.0::DOUBLE * count_if(identity >= 0.95) / count(*), 6) AS percent, round(sum(block_length) FILTER (identity >= 0.95) / 1e6, 6)::DOUBLE AS megabases,

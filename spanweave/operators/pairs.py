@@ -15,16 +15,27 @@ from ..functions.grammar import Selection
 from ..session import ship
 
 K, SKETCH = 15, 1000
+#: Bases of a sequence that are hashed at once.
+PIECE = 1 << 16
 #: Vectors of a block; two blocks are compared at once, so many rows of the first by all of the second.
 BLOCK, CHUNK = 4096, 256
 
 
-def sketches(sequences: DataFrame, k: int = K, size: int = SKETCH) -> DataFrame:
-    """(name, sketch): the ``size`` least hashes of a sequence's k-mers of A, C, G and T, each with its reverse complement; repeats count."""
-    up = F.upper("sequence")
-    at = F.when(F.length("sequence") >= k, F.sequence(F.lit(1), F.length("sequence") - k + 1)).otherwise(F.array().cast("array<int>"))
+def sketches(sequences: DataFrame, k: int = K, size: int = SKETCH, chunk: int = PIECE) -> DataFrame:
+    """(name, sketch): the ``size`` least hashes of a sequence's k-mers of A, C, G and T, each with its reverse complement; repeats count.
+
+    A sequence is cut into pieces of ``chunk`` bases (and the k - 1 after), whose least hashes are merged by rank, so a
+    chromosome is hashed by many tasks and none holds all of its k-mers.
+    """
+    parts = F.split(F.upper("sequence"), f"(?<=\\G.{{{chunk}}})")
+    pieces = F.transform(parts, lambda x, i: F.concat(x, F.coalesce(F.substring(F.get(parts, i + 1), 1, k - 1), F.lit(""))))
+    cut = sequences.select("name", F.explode(pieces).alias("_s"))
+    at = F.when(F.length("_s") >= k, F.sequence(F.lit(1), F.length("_s") - k + 1)).otherwise(F.array().cast("array<int>"))
     kmers = F.filter(F.transform(at, lambda i: F.substring(F.col("_s"), i, k)), lambda x: F.rlike(x, F.lit("^[ACGT]+$")))
-    return sequences.withColumn("_s", up).select("name", F.slice(F.array_sort(F.transform(kmers, kmer_hash)), 1, size).alias("sketch"))
+    some = cut.select("name", F.explode(F.slice(F.array_sort(F.transform(kmers, kmer_hash)), 1, size)).alias("h"))
+    least = some.withColumn("_n", F.row_number().over(W.partitionBy("name").orderBy("h"))).filter(F.col("_n") <= size)
+    found = least.groupBy("name").agg(F.array_sort(F.collect_list("h")).alias("sketch"))
+    return sequences.select("name").join(found, "name", "left").select("name", F.coalesce("sketch", F.array().cast("array<bigint>")).alias("sketch"))
 
 
 def merged_sketches(found: DataFrame, group: Column, size: int = SKETCH) -> DataFrame:

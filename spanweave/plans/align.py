@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.grammar import Selection, clamp_scaffolds, filter_mode, identity_threshold, selection
-from ..operators.pairs import group_of, select_pairs, sketch_distances, sketches
+from ..operators.joins import remaining
+from ..operators.pairs import group_of, select_pairs, shuffled_slice, sketch_distances, sketches
 from ..schema import MAPPING, FilterConfig, Scoring
 from ..session import ship
 from .filtering import filter_mappings
@@ -42,6 +43,12 @@ def haplotype_pairs(sequences: DataFrame, how: Selection | str, seed: int = 0) -
     return expand_haplotypes(chosen.select(F.col("i").alias("a"), F.col("j").alias("b")), groups)
 
 
+def pair_list(pairs: DataFrame, seed: int | None = None, start: int = 0, most: int | None = None, done: DataFrame | None = None) -> DataFrame:
+    """What is left to do of pairs (query, target): shuffled by a seed (in order of name without one), a slice, less the pairs already done."""
+    out = shuffled_slice(pairs, seed, start, most) if seed is not None or start or most is not None else pairs
+    return out if done is None else remaining(out, done)
+
+
 def align_pairs(sequences: DataFrame, pairs: DataFrame, aligner: Aligner, both_ways: bool = True) -> DataFrame:
     """Mappings of the pairs (i, j), each aligned by one call of ``aligner`` on an executor."""
     ship(sequences.sparkSession)

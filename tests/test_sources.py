@@ -172,3 +172,45 @@ def test_sniffing_and_headers(spark, tmp_path):
     assert readers.sniff(spark, put(tmp_path, "# c\n" * 80 + "\n" + line("a", 0, 10, "b", 0, 10, 9, 10) + "\n", "long.txt")) == "mappings"
     fa = readers.read_fasta(spark, put(tmp_path, ">A a > b\nAC\nGT\n>B x>y\nG\n", "h.fa"))
     assert {(r["name"], r["sequence"]) for r in fa.collect()} == {("A", "ACGT"), ("B", "G")}
+
+
+def plain_sketch(text, k, size):
+    """Hashes of k-mers one by one, by the same column function over a table of k-mers."""
+    text = text.upper()
+    return [text[i : i + k] for i in range(len(text) - k + 1) if set(text[i : i + k]) <= set("ACGT")]
+
+
+@pytest.mark.parametrize("chunk", [5, 64, 1 << 16])
+def test_sketches_match_plain_kmers(spark, chunk):
+    import random
+
+    g = random.Random(chunk)
+    texts = {f"s{n}": "".join(g.choice("ACGTACGTACGTNacgt") for _ in range(n)) for n in (0, 3, 4, 5, 6, 63, 64, 65, 400)}
+    df = spark.createDataFrame(list(texts.items()), "name string, sequence string")
+    got = {r["name"]: r["sketch"] for r in pairs.sketches(df, 4, 40, chunk).collect()}
+    kmers = [(n, x) for n, t in texts.items() for x in plain_sketch(t, 4, 40)]
+    want = {n: [] for n in texts}
+    for r in spark.createDataFrame(kmers, "n string, x string").select("n", X.kmer_hash(F.col("x")).alias("h")).collect():
+        want[r["n"]].append(r["h"])
+    assert got == {n: sorted(h)[:40] for n, h in want.items()}
+
+
+def test_commands(spark, tmp_path):
+    from spanweave.__main__ import main
+
+    names = [f"{g}#1#c{k}" for g in "ABC" for k in (1, 2)]
+    fa = put(tmp_path, "".join(f">{n}\n{'ACGTTGCA' * 5}{'AC' * k}\n" for k, n in enumerate(names)), "all.fa")
+    main(["pairs", fa, str(tmp_path / "all")])
+    every = {tuple(r) for r in readers.read_pairs(spark, str(tmp_path / "all")).collect()}
+    assert len(every) == 15
+    parts = []
+    for k in range(3):
+        main(["pairs", fa, str(tmp_path / "part"), "--shuffle-seed", "7", "--start", str(5 * k), "--max", "5", "--append"])
+        parts.append(readers.read_pairs(spark, str(tmp_path / "part")).count())
+    assert parts == [5, 10, 15] and {tuple(r) for r in readers.read_pairs(spark, str(tmp_path / "part")).collect()} == every
+    main(["pairs", fa, str(tmp_path / "rest"), "--done", str(tmp_path / "part")])
+    assert readers.read_pairs(spark, str(tmp_path / "rest")).count() == 0
+    main(["jobs", fa, str(tmp_path / "jobs")])
+    assert spark.read.text(str(tmp_path / "jobs")).count() == 6
+    main(["batches", fa, str(tmp_path / "batches"), "--bases", "200"])
+    assert {r["batch_id"] for r in spark.read.text(str(tmp_path / "batches")).collect()} == {0, 1}
