@@ -35,14 +35,14 @@ def on_diagonal(mappings: DataFrame, chains: DataFrame, gap: int) -> DataFrame:
 def within_distance(mappings: DataFrame, anchors: DataFrame, distance: int) -> DataFrame:
     """(rank, anchor_rank): mappings whose centre is at most ``distance`` (whole units) from that of an anchor of the same pair, with the nearest anchor, the least rank of equal ones.
 
-    Anchors are put in square cells of the two axes; a mapping looks at the nine cells around it.
+    Mappings are put in square cells of the two axes; an anchor, of which there are fewer, is put in the nine cells around it.
     """
     side = distance + 1
     at = lambda d: d.select(*PAIR, "rank", _centre("query").alias("q"), _centre("target").alias("t"))
-    a = at(anchors).select(*PAIR, F.col("rank").alias("anchor_rank"), F.col("q").alias("aq"), F.col("t").alias("at"), F.floor(F.col("q") / side).alias("cq"), F.floor(F.col("t") / side).alias("ct"))
-    m = at(mappings)
-    for c, v in (("cq", "q"), ("ct", "t")):
-        m = m.withColumn(c, F.explode(F.array(*(F.floor(F.col(v) / side) + k for k in (-1, 0, 1)))))
+    m = at(mappings).withColumns({"cq": F.floor(F.col("q") / side), "ct": F.floor(F.col("t") / side)})
+    a = at(anchors).select(*PAIR, F.col("rank").alias("anchor_rank"), F.col("q").alias("aq"), F.col("t").alias("at"))
+    for c, v in (("cq", "aq"), ("ct", "at")):
+        a = a.withColumn(c, F.explode(F.array(*(F.floor(F.col(v) / side) + k for k in (-1, 0, 1)))))
     square = (F.col("q") - F.col("aq")) * (F.col("q") - F.col("aq")) + (F.col("t") - F.col("at")) * (F.col("t") - F.col("at"))
     near = m.join(a, [*PAIR, "cq", "ct"]).withColumn("_d", square).filter(F.col("_d") < side * side)
     near = near.withColumn("_d", F.floor(F.sqrt("_d")))
@@ -61,12 +61,16 @@ def contained(mappings: DataFrame, boxes: DataFrame) -> DataFrame:
 
 
 def near_target(mappings: DataFrame, anchors: DataFrame, distance: int) -> DataFrame:
-    """Mappings whose target midpoint is at most ``distance`` from that of an anchor on the same target, whatever the query."""
-    a = anchors.select("target", ((F.col("target_start") + F.col("target_end")) / 2).alias("_a")).withColumn("_cell", F.floor(F.col("_a") / (distance + 1)))
-    m = mappings.withColumn("_t", (F.col("target_start") + F.col("target_end")) / 2).withColumn("_k", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("_cell", F.floor(F.col("_t") / (distance + 1)) + F.col("_k"))
+    """Mappings whose target midpoint is at most ``distance`` from that of an anchor on the same target, whatever the query.
+
+    An anchor's midpoint is put in three cells of the target, so mappings are neither copied nor made distinct.
+    """
+    middle, side = (F.col("target_start") + F.col("target_end")) / 2, distance + 1
+    a = anchors.select("target", middle.alias("_a")).distinct().withColumn("_cell", F.explode(F.array(*(F.floor(F.col("_a") / side) + k for k in (-1, 0, 1)))))
+    m = mappings.withColumn("_t", middle).withColumn("_cell", F.floor(F.col("_t") / side))
     m, a = m.alias("m"), a.alias("a")
     near = m.join(a, (F.col("m.target") == F.col("a.target")) & (F.col("m._cell") == F.col("a._cell")) & (F.abs(F.col("_t") - F.col("_a")) <= distance), "left_semi")
-    return near.drop("_t", "_k", "_cell").dropDuplicates(["rank"])
+    return near.drop("_t", "_cell")
 
 
 def of_pairs(mappings: DataFrame, pairs: DataFrame, key) -> DataFrame:
