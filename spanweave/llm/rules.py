@@ -145,7 +145,7 @@ def _starts(rows: DataFrame, few: bool) -> DataFrame:
     the rows that lies nearest."""
     long = rows.select("pool", F.explode(F.array(*(F.struct(F.lit(i).alias("f"), F.col(f"{_N}{i}").alias("q")) for i in range(P)))).alias("x")).groupBy("pool", "x.f", "x.q").agg(F.count("*").alias("n"))
     long = written(long, "rules-values")
-    mid = written(_middle(long, ["pool", "f"], "q"), "rules-medians")
+    mid = _middle(long, ["pool", "f"], "q")
     off = long.join(mid, ["pool", "f"]).groupBy("pool", "f", F.abs(F.col("q") - F.col("mid")).alias("d")).agg(F.sum("n").alias("n"))
     wide = _middle(off, ["pool", "f"], "d").withColumnRenamed("mid", "mad").join(mid, ["pool", "f"])
     pick = lambda k, c: F.min(F.when(F.col("f") == k, F.col(c))).cast("double")
@@ -176,25 +176,25 @@ def _sent(table: DataFrame, few: bool) -> DataFrame:
     return F.broadcast(table) if few else table
 
 
-def _edges(rows: DataFrame, params: DataFrame, few: bool) -> tuple[DataFrame, DataFrame]:
-    """``rows`` with the bin _b of their distance by each start of ``params``, and the last bin _edge of the core of each pool and start.
+def _cores(rows: DataFrame, params: DataFrame, few: bool, sums: dict[str, Column]) -> DataFrame:
+    """(pool, start, _edge, ``sums`` over the core) by each start of ``params``: the core is every bin of distances up to the one in which three quarters of the pool's rows are reached.
 
-    "Nearest" is read off counts of bins: no rows are sorted, and a hot pool is summed by many tasks, as the tables with
-    a row per pool and start are small enough to broadcast (a shuffled join otherwise).
+    "Nearest" is read off counts and sums of bins, in one pass: no rows are sorted, and a hot pool is summed by many
+    tasks, as the tables with a row per pool and start are small enough to broadcast (a shuffled join otherwise).
     """
     far = rows.join(_sent(params, few), "pool").withColumn("_b", _bin(_distance()))
+    bins = far.groupBy("pool", "start", "_b").agg(F.count("*").alias("n"), *(F.sum(c).alias(k) for k, c in sums.items()))
     of = W.partitionBy("pool", "start")
-    bins = far.groupBy("pool", "start", "_b").agg(F.count("*").alias("n"))
     upto = bins.withColumn("upto", F.sum("n").over(of.orderBy("_b"))).withColumn("all", F.sum("n").over(of))
-    return far, written(upto.filter(f"{CORE[1]} * upto >= {CORE[0]} * `all`").groupBy("pool", "start").agg(F.min("_b").alias("_edge")), "rules-edge")
+    core = upto.filter(f"{CORE[1]} * (upto - n) < {CORE[0]} * `all`")
+    return core.groupBy("pool", "start").agg(F.max("_b").alias("_edge"), F.sum("n").alias("n"), *(F.sum(k).alias(k) for k in sums))
 
 
 def _step(rows: DataFrame, params: DataFrame, few: bool) -> DataFrame:
-    """One concentration step: mean and covariance, with its determinant, of the rows of each pool and start that lie nearest by ``params``."""
-    far, edge = _edges(rows, params, few)
-    core = far.join(_sent(edge, few), ["pool", "start"]).filter("_b <= _edge")
-    sums = core.groupBy("pool", "start").agg(F.count("*").alias("n"), *(F.sum(f"{_N}{i}").alias(f"s{i}") for i in range(P)), *(F.sum(F.col(f"{_N}{i}") * F.col(f"{_N}{j}")).alias(f"p{i}{j}") for i, j in _PAIRS))
-    out = sums.select("pool", "start", "n", *((F.col(f"s{i}") / F.col("n")).alias(f"_m{i}") for i in range(P)), *(f"p{i}{j}" for i, j in _PAIRS))
+    """One concentration step: mean and covariance, with its determinant, of the core of each pool and start."""
+    sums = {f"s{i}": F.col(f"{_N}{i}") for i in range(P)} | {f"p{i}{j}": F.col(f"{_N}{i}") * F.col(f"{_N}{j}") for i, j in _PAIRS}
+    core = _cores(rows, params, few, sums)
+    out = core.select("pool", "start", "n", *((F.col(f"s{i}") / F.col("n")).alias(f"_m{i}") for i in range(P)), *(f"p{i}{j}" for i, j in _PAIRS))
     return _factor(out, lambda i, j: F.col(f"p{i}{j}") / F.col("n") - F.col(f"_m{i}") * F.col(f"_m{j}")).select("pool", "start", *_PARAMS, "det")
 
 
@@ -217,7 +217,7 @@ def estimates(rows: DataFrame, few: bool = True) -> DataFrame:
     best = done.groupBy("pool").agg(F.min_by(F.struct("start", *_PARAMS), F.struct("det", "start")).alias("x")).select("pool", "x.*")
     best = written(best, "rules-best")
     scale = F.greatest(F.lit(1.0), F.expm1((F.col("_edge") + 0.5) / BINS) / CHI_CORE)
-    return written(best.join(_edges(rows, best, few)[1], ["pool", "start"]).select("pool", *_PARAMS, scale.alias("_scale")), "rules-estimates")
+    return written(best.join(_cores(rows, best, few, {}), ["pool", "start"]).select("pool", *_PARAMS, scale.alias("_scale")), "rules-estimates")
 
 
 def _counted(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
