@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
@@ -59,6 +61,11 @@ def sweep_scaffolds(chains: DataFrame, cfg: FilterConfig) -> DataFrame:
     return sweep_both(rows, ["query", "target"], cfg.scaffold_query_limit, cfg.scaffold_target_limit, cfg.scaffold_overlap, cfg.scoring).drop("rank")
 
 
+def _held(df: DataFrame) -> DataFrame:
+    """``df``, kept in memory or on disk for this call alone: Spark would take what it holds of an equal plan, even where the files behind it have changed since."""
+    return df.withColumn("_call", F.lit(uuid.uuid4().hex)).persist(StorageLevel.MEMORY_AND_DISK).drop("_call")
+
+
 def filter_mappings(df: DataFrame, cfg: FilterConfig = FilterConfig()) -> DataFrame:
     """Mappings kept by ``cfg``, with chain_id and chain_status.
 
@@ -70,11 +77,12 @@ def filter_mappings(df: DataFrame, cfg: FilterConfig = FilterConfig()) -> DataFr
     base = passing(df, cfg)
     if cfg.scaffold_gap == 0:
         return sweep_mappings(base, cfg).withColumns({"chain_id": F.lit(None).cast("string"), "chain_status": F.lit(Status.UNASSIGNED.value)})
-    base = base.persist(StorageLevel.MEMORY_AND_DISK)
-    members = chain.chain_members(sweep_mappings(base, cfg), cfg.scaffold_gap).select(*chain.CHAIN, "rank", "query_start", "query_end", "target_start", "target_end", "matches", "block_length").persist(StorageLevel.MEMORY_AND_DISK)
+    base = _held(base)
+    members = chain.chain_members(sweep_mappings(base, cfg), cfg.scaffold_gap).select(*chain.CHAIN, "rank", "query_start", "query_end", "target_start", "target_end", "matches", "block_length")
+    members = _held(members)
     long = ordered_chains(members).filter((F.col("span") >= cfg.min_scaffold_length) & (F.col("identity") >= cfg.min_scaffold_identity))
     before = members.join(long.select(*chain.CHAIN), chain.CHAIN, "left_semi").select("rank")
-    kept = numbered(sweep_scaffolds(long, cfg)).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = _held(numbered(sweep_scaffolds(long, cfg)))
     anchors = members.join(kept.select(*chain.CHAIN, "order"), chain.CHAIN).select("rank", "order")
     if cfg.scaffolds_only:
         return _annotated(base.join(anchors, "rank"), Status.SCAFFOLD)
