@@ -150,7 +150,7 @@ def _starts(rows: DataFrame, few: bool) -> DataFrame:
     wide = _middle(off, ["pool", "f"], "d").withColumnRenamed("mid", "mad").join(mid, ["pool", "f"])
     pick = lambda k, c: F.min(F.when(F.col("f") == k, F.col(c))).cast("double")
     at = wide.groupBy("pool").agg(*(pick(i, "mid").alias(f"_m{i}") for i in range(P)), *(F.greatest(1.4826 * pick(i, "mad"), F.lit(FLOOR * UNIT)).alias(f"_s{i}") for i in range(P)))
-    at = written(at, "rules-scales")
+    at = _noted(at, "rules-scales", few)
     z = rows.join(_sent(at, few), "pool").select("pool", *(((F.col(f"{_N}{i}") - F.col(f"_m{i}")) / F.col(f"_s{i}")).alias(f"z{i}") for i in range(P)))
     z = z.withColumn("norm", sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, P)), F.col("z0") * F.col("z0")))
     half = _middle(z.groupBy("pool", _bin(F.col("norm")).alias("b")).agg(F.count("*").alias("n")), ["pool"], "b").withColumnRenamed("mid", "edge")
@@ -176,6 +176,11 @@ def _sent(table: DataFrame, few: bool) -> DataFrame:
     return F.broadcast(table) if few else table
 
 
+def _noted(table: DataFrame, what: str, few: bool) -> DataFrame:
+    """A written table with a row for each pool (and start), in a few files if its pools were counted to be few: the driver keeps a record of every task."""
+    return written(table.coalesce(16) if few else table, what)
+
+
 def _cores(rows: DataFrame, params: DataFrame, few: bool, sums: dict[str, Column]) -> DataFrame:
     """(pool, start, _edge, ``sums`` over the core) by each start of ``params``: the core is every bin of distances up to the one in which three quarters of the pool's rows are reached.
 
@@ -204,20 +209,20 @@ def estimates(rows: DataFrame, few: bool = True) -> DataFrame:
     Each start is followed by concentration steps for as long as the determinant falls. ``_scale`` makes squared
     distances chi-square ones at the edge of the core. ``few``: whether tables with a row for each pool and start may be broadcast.
     """
-    now = written(_starts(rows, few), "rules-start")
+    now = _noted(_starts(rows, few), "rules-start", few)
     done = None
     while True:
         old = now.select("pool", "start", F.col("det").alias("old"))
-        fell = written(_step(rows, now, few).join(old, ["pool", "start"]).filter(F.col("det") < F.col("old") - STILL).drop("old"), "rules-step")
+        fell = _noted(_step(rows, now, few).join(old, ["pool", "start"]).filter(F.col("det") < F.col("old") - STILL).drop("old"), "rules-step", few)
         still = now.join(fell.select("pool", "start"), ["pool", "start"], "left_anti")
         done = still if done is None else done.unionByName(still)
         if not fell.limit(1).count():
             break
         now = fell
     best = done.groupBy("pool").agg(F.min_by(F.struct("start", *_PARAMS), F.struct("det", "start")).alias("x")).select("pool", "x.*")
-    best = written(best, "rules-best")
+    best = _noted(best, "rules-best", few)
     scale = F.greatest(F.lit(1.0), F.expm1((F.col("_edge") + 0.5) / BINS) / CHI_CORE)
-    return written(best.join(_cores(rows, best, few, {}), ["pool", "start"]).select("pool", *_PARAMS, scale.alias("_scale")), "rules-estimates")
+    return _noted(best.join(_cores(rows, best, few, {}), ["pool", "start"]).select("pool", *_PARAMS, scale.alias("_scale")), "rules-estimates", few)
 
 
 def _counted(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
