@@ -117,15 +117,29 @@ def _bin(d2: Column) -> Column:
     return F.floor(BINS * F.log1p(d2)).cast("long")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once; as an element of an array it is never written out again where it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _factor(df: DataFrame, cov) -> DataFrame:
-    """``df`` with the Cholesky factor _c* of the matrix ``cov(i, j)``, the floor added, and the logarithm of its determinant."""
-    for i in range(P):
-        for j in range(i + 1):
-            v = F.greatest(cov(i, j), F.lit(0.0)) + (FLOOR * UNIT) ** 2 if i == j else cov(i, j)
-            for k in range(j):
-                v = v - F.col(f"_c{i}{k}") * F.col(f"_c{j}{k}")
-            df = df.withColumn(f"_c{i}{j}", F.sqrt(F.greatest(v, F.lit(1e-6))) if i == j else v / F.col(f"_c{j}{j}"))
-    return df.withColumn("det", sum((2 * F.log(F.col(f"_c{i}{i}")) for i in range(1, P)), 2 * F.log(F.col("_c00"))))
+    """``df`` with the Cholesky factor _c* of the matrix ``cov(i, j)``, the floor added, and the logarithm of its determinant.
+
+    Each element is bound to a name: as columns upon columns, a filter on the determinant that is pushed below them would
+    spell out all of them in each other, in more code than a class can hold.
+    """
+
+    def rest(c: dict[tuple[int, int], Column]) -> Column:
+        if len(c) == len(_PAIRS):
+            det = sum((2 * F.log(c[i, i]) for i in range(1, P)), 2 * F.log(c[0, 0]))
+            return F.struct(*(v.alias(f"_c{i}{j}") for (i, j), v in c.items()), det.alias("det"))
+        i, j = _PAIRS[len(c)]
+        v = F.greatest(cov(i, j), F.lit(0.0)) + (FLOOR * UNIT) ** 2 if i == j else cov(i, j)
+        for k in range(j):
+            v = v - c[i, k] * c[j, k]
+        return _let(F.sqrt(F.greatest(v, F.lit(1e-6))) if i == j else v / c[j, j], lambda x: rest(c | {(i, j): x}))
+
+    return df.withColumn("_f", rest({})).select("*", "_f.*").drop("_f")
 
 
 _PARAMS = [*(f"_m{i}" for i in range(P)), *(f"_c{i}{j}" for i in range(P) for j in range(i + 1))]

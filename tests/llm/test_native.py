@@ -363,3 +363,14 @@ def test_sql(spark, name):
     assert order == sorted(sql.columns)
     at = [sql.columns.index(x) for x in order]
     assert sorted(tuple(r[x] for x in order) for r in df.collect()) == sorted(tuple(r[k] for k in at) for r in sql.fetchall())
+
+
+def test_a_step_of_the_rules_stays_small_below_a_filter(spark):
+    """A filter on the determinant is pushed below the Cholesky factor; it must not spell out every element in the next."""
+    rows = spark.createDataFrame([("all", *(i * k % 17 for k in range(1, rules.P + 1))) for i in range(40)], f"pool string, {', '.join(f'_q{i} long' for i in range(rules.P))}")
+    first = rules._starts(rows, True)
+    step = rules._step(rows, first, True).filter(F.col("det") < 1e9)
+    plan = step._jdf.queryExecution().optimizedPlan()
+    longest = max(len(line) for line in plan.toString().split("\n"))
+    assert 1_000 < longest < 12_000
+    assert step.count() == 4
